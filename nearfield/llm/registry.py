@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, sharding
+from . import media, mixing, neardup, packing, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.query,
         "op2_packing": packing.query,
         "op4_mixing": mixing.query,
+        "op6_neardup": neardup.query,
         "op9_media": media.query,
     }
 
