@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neardup, packing, sharding
+from . import media, mixing, neardup, packing, pii, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_packing": packing.query,
         "op4_mixing": mixing.query,
         "op6_neardup": neardup.query,
+        "op8_pii": pii.query,
         "op9_media": media.query,
     }
 
