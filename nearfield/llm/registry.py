@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neardup, packing, pii, sharding
+from . import media, mixing, neardup, packing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
         "op2_packing": packing.query,
+        "op3_quality": quality.query,
         "op4_mixing": mixing.query,
         "op6_neardup": neardup.query,
         "op8_pii": pii.query,
