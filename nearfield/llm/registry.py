@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neardup, packing, pii, quality, sharding
+from . import embdup, media, mixing, neardup, packing, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.query,
         "op4_mixing": mixing.query,
         "op6_neardup": neardup.query,
+        "op7_embdup": embdup.query,
         "op8_pii": pii.query,
         "op9_media": media.query,
     }
