@@ -230,3 +230,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
 
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
+
+
+def keep_one(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
+    """df's rows without near-duplicates: of each component the row with the least key stays. Rows with a null key stay; of rows that repeat a key one stays."""
+    kept = near_duplicates(df, key, text, k, percent).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__kept")).distinct()
+    out = df.join(kept, df[key] == kept["__kept"], "left_semi")
+    if not df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([key])
+    return out.unionByName(df.where(F.col(key).isNull()))
