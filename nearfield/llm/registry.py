@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embdup, media, mixing, neardup, packing, pii, quality, sharding
+from . import embdup, media, mixing, neardup, packing, pii, quality, sharding, substrings
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_embdup": embdup.query,
         "op8_pii": pii.query,
         "op9_media": media.query,
+        "op10_substrings": substrings.query,
     }
 
 
