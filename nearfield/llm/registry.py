@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embdup, media, mixing, neardup, packing, pii, quality, sharding, substrings
+from . import embdup, media, mixing, neardup, packing, passages, pii, quality, sharding, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_packing": packing.query,
         "op3_quality": quality.query,
         "op4_mixing": mixing.query,
+        "op5_passages": passages.query,
         "op6_neardup": neardup.query,
         "op7_embdup": embdup.query,
         "op8_pii": pii.query,
