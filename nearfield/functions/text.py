@@ -99,7 +99,8 @@ def content_hash(text: pd.Series) -> pd.Series:
     known = text.dropna()
     with np.errstate(over="ignore"):
         states = hash_units([np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in known])
-    return pd.Series([f"{s:08x}" for s in states], index=known.index, dtype=object).reindex(text.index)
+    digits = dict(zip(known.index, states.tolist(), strict=True))
+    return pd.Series([f"{digits[i]:08x}" if i in digits else None for i in text.index], dtype=object)
 
 
 def strip_md(path: Column) -> Column:

@@ -90,7 +90,8 @@ def embed_udf(load: Callable[[], Callable[[list[str]], list]], attempts: int = 3
                 except Exception:
                     if not left:
                         raise
-            yield pd.Series(list(got), index=known.index, dtype=object).reindex(texts.index)
+            vectors = dict(zip(known.index, got, strict=True))
+            yield pd.Series([vectors.get(i) for i in texts.index], dtype=object)
 
     return embed
 
