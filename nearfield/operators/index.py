@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .ranking import global_rank
 
 COLUMNS = ["id", "embedding", "content_hash", "updated_at", "position"]
 
@@ -42,15 +43,8 @@ def rename(index: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def pack_rows(index: DataFrame) -> DataFrame:
-    """Adds row from 0 by rising id: a vector's place in the sidecar.
-
-    Counts of ranges of ids come first, then ranks within a range, so no task sorts the whole index.
-    """
-    ranges = index.withColumn("__part", F.substring("id", 1, 3))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.groupBy("__part").agg(F.count("*").alias("__n")).select(F.col("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    ranked = ranges.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("id", "position")) - 1)
-    return ranked.join(F.broadcast(starts), "__part").withColumn("row", (F.col("__start") + F.col("__rank")).cast("int")).drop("__part", "__start", "__rank")
+    """Adds row from 0 by rising id: a vector's place in the sidecar."""
+    return global_rank(index, [F.col("id"), F.col("position")], "row").withColumn("row", F.col("row").cast("int"))
 
 
 def unpack(entries: DataFrame, vectors: DataFrame) -> DataFrame:

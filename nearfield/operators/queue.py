@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import global_rank
+
 PRIORITY = {"manual": 0, "edit": 1, "open": 2, "seed": 3}
 #: Banner texts.
 FAILED_LATER = "Index updates paused after an error. Results may be stale until you sync again."
@@ -56,7 +58,7 @@ def next_note(queue: DataFrame) -> DataFrame:
 
 def drain_order(queue: DataFrame) -> DataFrame:
     """Adds place from 1 over the whole queue: its total order."""
-    return queue.select("id", "reason", F.row_number().over(Window.orderBy(*_order())).alias("place"))
+    return global_rank(queue, _order(), "place").select("id", "reason", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def counts(queue: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .paths import ignored
+from .ranking import global_rank
 
 
 def to_add(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -30,8 +31,8 @@ def sync_actions(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def seed_order(candidates: DataFrame) -> DataFrame:
     """Adds seq from 0: recently opened first, then the latest change, then id in Unicode collation order."""
-    order = Window.orderBy(F.col("recent_open_rank").asc_nulls_last(), F.desc("modified_at"), F.collate("id", "UNICODE"), "id")
-    return candidates.select("id", (F.row_number().over(order) - 1).alias("seq"))
+    order = [F.col("recent_open_rank").asc_nulls_last(), F.desc("modified_at"), F.collate("id", "UNICODE").asc(), F.col("id").asc()]
+    return global_rank(candidates, order, "seq").select("id", F.col("seq").cast("int").alias("seq"))
 
 
 def sync_plan(candidates: DataFrame, indexed: DataFrame, queued: DataFrame, rules: DataFrame, force: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..operators import queue as Q
 from ..operators import search as S
 from ..operators import settings as ST
 from ..operators import stats, sync
+from ..operators.ranking import shared_folder
 from ..sources import notes as N
 from ..sources import sidecar, synthetic
 from ..streaming import changes as C
@@ -121,8 +123,12 @@ def index_is_empty(spark, d):
     return N.index(spark, d).limit(1).agg((F.count("*") == 0).alias("is_empty"))
 
 
+def _folder(spark):
+    return f"{shared_folder(spark)}/nearfield-{uuid.uuid4()}"
+
+
 def _sidecar(spark, d):
-    folder = tempfile.mkdtemp(prefix="nearfield-sidecar-")
+    folder = _folder(spark)
     sidecar.write(N.index(spark, d), folder)
     return folder
 
@@ -149,13 +155,10 @@ def read_legacy(spark, d):
 
 
 def _legacy(spark, d, migrate_to=None):
-    import json
-    import os
-
-    folder = tempfile.mkdtemp(prefix="nearfield-legacy-")
+    folder = _folder(spark)
     rows = N.index(spark, d).orderBy("id").limit(200).collect()  # the fixture is 200 rows
-    with open(os.path.join(folder, "data.json"), "w", encoding="utf-8") as f:
-        json.dump({"schemaVersion": 1, "index": [{"id": r["id"], "embedding": r["embedding"], "contentHash": r["content_hash"], "updatedAt": r["updated_at"]} for r in rows]}, f)
+    root = {"schemaVersion": 1, "index": [{"id": r["id"], "embedding": r["embedding"], "contentHash": r["content_hash"], "updatedAt": r["updated_at"]} for r in rows]}
+    sidecar._put(spark, f"{folder}/data.json", [json.dumps(root).encode()])
     if migrate_to is None:
         return sidecar.read_legacy(spark, f"{folder}/data.json")
     sidecar.migrate(spark, f"{folder}/data.json", migrate_to)
@@ -164,12 +167,12 @@ def _legacy(spark, d, migrate_to=None):
 
 @query()
 def migrate_v1(spark, d):
-    return _legacy(spark, d, tempfile.mkdtemp(prefix="nearfield-migrated-")).select("id", "content_hash", "position")
+    return _legacy(spark, d, _folder(spark)).select("id", "content_hash", "position")
 
 
 @query()
 def index_rewrite(spark, d):
-    folder = tempfile.mkdtemp(prefix="nearfield-index-")
+    folder = _folder(spark)
     sidecar.write_version(N.index(spark, d), folder, 1)
     return sidecar.read_version(spark, folder, 1).select("id", "content_hash", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 

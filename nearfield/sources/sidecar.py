@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators.index import pack_rows
+from ..operators.ranking import saved
 
 #: Fixed values of the format: magic, version, type, and the header's layout.
 MAGIC, VERSION, INT8, LAYOUT, SIZE = 0x53494D42, 2, 1, "<IBBHII", 16
@@ -64,31 +65,46 @@ def vectors(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, row int, embedding array<float>")
 
 
+def _put(spark: SparkSession, path: str, parts) -> None:
+    """Writes bytes to a file of any store that Spark knows, under another name until it is whole."""
+    jvm = spark._jvm
+    to, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.tmp"))
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    for part in parts:
+        out.write(bytearray(part))
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(new, to):
+        raise OSError(f"{path} couldn't be written")
+
+
 def write(index: DataFrame, folder: str) -> None:
     """embeddings.bin, then data.json, by the driver: the format is one file of each. A crash between the two leaves the old root, and a new run repeats both.
 
     For an index beyond one machine write_version() is the way.
     """
-    import os
-
-    packed = pack_rows(index).orderBy("row")
-    os.makedirs(folder, exist_ok=True)
-    entries, dim, count = [], 0, 0
-    with open(f"{folder}/embeddings.bin.tmp", "wb") as f:
-        f.write(bytes(SIZE))
-        for r in packed.toLocalIterator():
-            if count and len(r["embedding"]) != dim:
-                raise ValueError("vectors of different lengths")
-            dim = len(r["embedding"])
-            f.write(encode(np.array(r["embedding"]), dim)[SIZE :])
-            entries.append({"id": r["id"], "contentHash": r["content_hash"], "updatedAt": r["updated_at"], "chunks": [{"row": count, "start": 0, "end": 0, "hash": r["content_hash"]}]})
-            count += 1
-        f.seek(0)
-        f.write(struct.pack(LAYOUT, MAGIC, VERSION, INT8, 0, dim, count))
-    os.replace(f"{folder}/embeddings.bin.tmp", f"{folder}/embeddings.bin")
-    with open(f"{folder}/data.json.tmp", "w", encoding="utf-8") as f:
-        json.dump({"schemaVersion": 2, "embeddingDim": dim, "index": entries}, f)
-    os.replace(f"{folder}/data.json.tmp", f"{folder}/data.json")
+    spark = index.sparkSession
+    packed = saved(pack_rows(index))
+    sizes = packed.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if sizes["low"] != sizes["high"]:
+        raise ValueError("vectors of different lengths")
+    dim = sizes["low"] or 0
+
+    def vectors_of():
+        yield struct.pack(LAYOUT, MAGIC, VERSION, INT8, 0, dim, sizes["n"])
+        for r in packed.select("embedding").orderBy("row").toLocalIterator():
+            yield encode(np.array(r["embedding"]), dim)[SIZE:]
+
+    def root():
+        yield json.dumps({"schemaVersion": 2, "embeddingDim": dim})[:-1].encode() + b', "index": ['
+        for r in packed.select("id", "content_hash", "updated_at", "row").orderBy("row").toLocalIterator():
+            entry = {"id": r["id"], "contentHash": r["content_hash"], "updatedAt": r["updated_at"], "chunks": [{"row": r["row"], "start": 0, "end": 0, "hash": r["content_hash"]}]}
+            yield (", " if r["row"] else "").encode() + json.dumps(entry).encode()
+        yield b"]}"
+
+    _put(spark, f"{folder}/embeddings.bin", vectors_of())
+    _put(spark, f"{folder}/data.json", root())
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,13 +29,17 @@ def throttle(writes: DataFrame, key: str, ts_ms: str, seq: str, every_ms: int =
     """(key, flush_ms, seq): what is written if the first pending write starts a timer and its end writes the latest snapshot.
 
     A window starts at the first write after the last window's end, so windows depend on the data. A fold
-    over a key's sorted times finds their starts; one array of times for each key is held.
+    over a key's sorted times finds their starts. After a pause of a window's length a window always starts, so times
+    are folded for each stretch without such a pause, and only one stretch's times are held at once.
     """
     step = lambda s, t: F.when(
         F.size(s) == 0, F.array(t)
     ).otherwise(F.when(t >= F.element_at(s, -1) + every_ms, F.concat(s, F.array(t))).otherwise(s))
-    starts = writes.groupBy(key).agg(F.array_sort(F.collect_set(F.col(ts_ms).cast("long"))).alias("t"))
-    starts = starts.select(key, F.explode(F.aggregate("t", F.array().cast("array<long>"), step)).alias("__start"))
+    by_time = Window.partitionBy(key).orderBy("__t")
+    times = writes.select(key, F.col(ts_ms).cast("long").alias("__t")).distinct()
+    apart = times.withColumn("__new", F.when(F.col("__t") - F.lag("__t").over(by_time) < every_ms, 0).otherwise(1))
+    busy = apart.withColumn("__stretch", F.sum("__new").over(by_time)).groupBy(key, "__stretch").agg(F.array_sort(F.collect_set("__t")).alias("t"))
+    starts = busy.select(key, F.explode(F.aggregate("t", F.array().cast("array<long>"), step)).alias("__start"))
     starts = starts.withColumn("__end", F.col("__start") + every_ms)
     hit = writes.join(starts.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.col(ts_ms) >= F.col("__start")) & (F.col(ts_ms) < F.col("__end")))
     return hit.groupBy(key, "__end").agg(F.max_by(seq, F.struct(ts_ms, seq)).alias("seq")).select(key, F.col("__end").alias("flush_ms"), "seq")

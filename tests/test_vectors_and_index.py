@@ -73,6 +73,7 @@ def test_sidecar(spark, tmp_path):
     assert data[:4].hex() == "424d4953" and len(data) == 16 + 2 * 2
     assert [(r["id"], r["content_hash"], r["position"]) for r in sidecar.read(spark, folder).orderBy("position").collect()] == [("a", "h1", 0), ("b", "h0", 1)]
     assert not sidecar.needs_rebuild(spark, folder).first()[0]
+    (tmp_path / "s" / ".embeddings.bin.crc").unlink()
     (tmp_path / "s" / "embeddings.bin").write_bytes(data[:-1])
     assert sidecar.needs_rebuild(spark, folder).first()[0] and sidecar.read(spark, folder).count() == 0
     (tmp_path / "s" / "embeddings.bin").unlink()
