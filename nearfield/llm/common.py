@@ -100,3 +100,17 @@ def string_buffers(array) -> tuple[np.ndarray, np.ndarray]:
     data = array.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(batch, column: int, most_bytes: int = 8 << 20, most_rows: int = 512):
+    """The Arrow batch in parts of most_rows rows at most, whose strings or bytes in a column come to about most_bytes; a longer one is a part of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, min(int(np.searchsorted(ends, before + most_bytes, "right")), low + most_rows))
+        yield batch.slice(low, high - low)
+        low = high

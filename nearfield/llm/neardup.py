@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, saved, string_buffers, table
+from .common import components, saved, slices, string_buffers, table
 
 HASHES, BATCH, MISS = 120, 24, 1e-6
 #: Buckets beyond this size are compared in blocks, with exact sets, and give no pairs.
@@ -68,8 +68,7 @@ def signatures(df: DataFrame, key: str, text: str, k: int, percent: int) -> Data
     def run(batches):
         a, b = W.coefficients(HASHES)
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
+            for batch in slices(whole, 1):
                 h, _, at = W.words(*string_buffers(batch.column(1)))
                 out = []
                 for i in range(batch.num_rows):
@@ -97,8 +96,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, ids: DataFrame, k: int) ->
 
     def run(batches):
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
+            for batch in slices(whole, 1):
                 h, _, at = W.words(*string_buffers(batch.column(1)))
                 sets = [W.shingles(h[at[i] : at[i + 1]], k).view(np.int64) for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])

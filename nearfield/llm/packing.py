@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import on_worker, saved, table
+from .common import on_worker, saved, slices, table
 
 CAPACITY, ROWS_EACH, SALTS = 2048, 20_000, 16
 #: Fixed value: the pattern that splits a text before the merges, in its public form without backtracking.
@@ -61,8 +61,7 @@ def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: s
     def run(batches):
         encode = on_worker(("encoder", path), lambda: encoder(path))
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
+            for some in slices(batch, 1):
                 of, out = [], []
                 for k, value in enumerate(some.column(1).to_pylist()):
                     tokens = np.array([*encode(value or ""), 0], "<u4")

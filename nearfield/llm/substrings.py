@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import saved, string_buffers, table
+from .common import saved, slices, string_buffers, table
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text looked at in one go, of suffixes sorted into one run, and of runs merged by one task on average.
@@ -221,8 +221,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     def find(batches):
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+            for batch in slices(whole, 1, 2 << 20):
                 raw = unpack(batch, 1)
                 at = np.cumsum([0, *map(len, raw)])
                 text, h, _, first, _ = anchors(np.frombuffer(b"".join(raw), np.uint8), at, length, gram)
@@ -326,8 +325,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
 
     def pack(batches):
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                data, at = string_buffers(whole.slice(low, 256).column(0))
+            for some in slices(whole, 0):
+                data, at = string_buffers(some.column(0))
                 raw = [data[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array([zlib.compress(r, 1) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], ["digest", "z", "n_bytes"])
 
