@@ -16,7 +16,7 @@ from ..operators import queue as Q
 from ..operators import search as S
 from ..operators import settings as ST
 from ..operators import stats, sync
-from ..operators.ranking import shared_folder
+from ..operators.ranking import saved, shared_folder
 from ..sources import notes as N
 from ..sources import sidecar, synthetic
 from ..streaming import changes as C
@@ -338,7 +338,7 @@ def codec_layout_valid(spark, d):
 # --- text ----------------------------------------------------------------------------------------------
 @query(f"SELECT doc_id, {_squash('text')} AS text FROM documents")
 def normalize_whitespace(spark, d):
-    return N.table(spark, d, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+    return N.texts(spark, d).select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
 
 
 @query("SELECT conv_id, turn, regexp_matches(text, '[\\p{L}\\p{N}]') AS semantic FROM conversations")
@@ -354,29 +354,29 @@ def title_weight(spark, d):
 @query("SELECT doc_id, substring(text, 1, 4800) AS text, CASE WHEN length(text) > 4800 THEN 'prepared-text-truncated' END AS warning FROM documents")
 def truncate_text(spark, d):
     t = F.col("text")
-    return N.table(spark, d, "documents").select("doc_id", T.truncate(t, 4800).alias("text"), F.when(T.is_truncated(t, 4800), "prepared-text-truncated").alias("warning"))
+    return N.texts(spark, d).select("doc_id", T.truncate(t, 4800).alias("text"), F.when(T.is_truncated(t, 4800), "prepared-text-truncated").alias("warning"))
 
 
 @query(f"WITH {_chunks('documents', 'doc_id', 'text', 'c')} SELECT id AS doc_id, i, chunk FROM c")
 def chunk_text(spark, d):
-    c = T.with_chunks(N.table(spark, d, "documents"), "text", "chunks").select("doc_id", F.posexplode("chunks").alias("i", "chunk"))
+    c = T.with_chunks(N.texts(spark, d), "text", "chunks").select("doc_id", F.posexplode("chunks").alias("i", "chunk"))
     return c.select("doc_id", F.col("i").cast("long").alias("i"), "chunk")
 
 
 @query(f"WITH {_chunks('documents', 'doc_id', 'text', 'c')} SELECT id AS doc_id, least(count(*), 32) AS kept, count(*) > 32 AS limited FROM c GROUP BY id")
 def chunk_cap(spark, d):
-    c = T.with_chunks(N.table(spark, d, "documents"), "text", "chunks")
+    c = T.with_chunks(N.texts(spark, d), "text", "chunks")
     return c.select("doc_id", F.size(F.slice("chunks", 1, 32)).cast("long").alias("kept"), (F.size("chunks") > 32).alias("limited"))
 
 
 @query(f"WITH {_chunks('documents', 'doc_id', 'text', 'c')} SELECT count(*) AS n_chunks, CAST(sum(length(chunk)) AS BIGINT) AS n_chars FROM c")
 def chunk_stats(spark, d):
-    return stats.chunk_stats(T.with_chunks(N.table(spark, d, "documents"), "text", "chunks"), "chunks")
+    return stats.chunk_stats(T.with_chunks(N.texts(spark, d), "text", "chunks"), "chunks")
 
 
 @query(f"SELECT doc_id, {HASH.format(x='text')} AS content_hash FROM documents")
 def content_hash(spark, d):
-    return N.table(spark, d, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
+    return N.texts(spark, d).select("doc_id", T.content_hash("text").alias("content_hash"))
 
 
 @query(f"WITH {RAW}, {TABLED} SELECT id, t AS text FROM tabled")
@@ -419,6 +419,7 @@ def prepare_status(spark, d):
 def index_outcome(spark, d):
     n = N.notes(spark, d)
     ready = PR.prepare(n.select("id"), n).select("id", "status", T.content_hash("prepared_text").alias("content_hash"))
+    ready = saved(ready)
     known = N.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("title"))
     index = ready.join(n.join(known, "title", "left_semi").select("id"), "id", "left_semi")
     return sync.index_outcome(ready, index, N.rules(spark))
@@ -449,13 +450,13 @@ def normalize_path(spark, d):
 n AS (SELECT doc_id, i, {_trim("regexp_replace(replace(line, chr(92), '/'), '^/+|/+$', '', 'g')")} AS rule FROM l),
 u AS (SELECT doc_id, rule, min(i) AS i FROM n WHERE rule <> '' GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, rule FROM u""")
 def parse_ignored_paths(spark, d):
-    r = N.table(spark, d, "documents").select("doc_id", F.posexplode(T.parse_ignored_paths(F.col("text"))).alias("place", "rule"))
+    r = N.texts(spark, d).select("doc_id", F.posexplode(T.parse_ignored_paths(F.col("text"))).alias("place", "rule"))
     return r.select("doc_id", F.col("place").cast("long").alias("place"), "rule")
 
 
 @query(f"WITH {NOTES} SELECT id FROM notes WHERE {IGNORED}")
 def ignored_paths(spark, d):
-    return P.ignored(N.notes(spark, d).select("id"), N.rules(spark))
+    return P.ignored(N.candidates(spark, d).select("id"), N.rules(spark))
 
 
 @query(f"WITH {PATHS}, b AS (SELECT id, regexp_replace(id, '(?i)\\.md$', '') AS s, string_split(regexp_replace(id, '(?i)\\.md$', ''), '/')[-1] AS basename FROM paths), t AS (SELECT id, basename, CASE WHEN count(*) OVER (PARTITION BY basename) > 1 THEN s ELSE basename END AS target FROM b) SELECT *, '[[' || target || ']]' AS link FROM t")
@@ -513,12 +514,12 @@ def sidecar_unpack(spark, d):
 # --- sync ----------------------------------------------------------------------------------------------
 @query(f"WITH {NOTES}, {INDEXED} SELECT DISTINCT id FROM notes WHERE id NOT IN (SELECT id FROM indexed)")
 def reconcile_to_add(spark, d):
-    return sync.to_add(N.notes(spark, d), N.indexed_ids(spark, d))
+    return sync.to_add(N.candidates(spark, d), N.indexed_ids(spark, d))
 
 
 @query(f"WITH {NOTES}, {INDEXED} SELECT DISTINCT id FROM indexed WHERE id NOT IN (SELECT id FROM notes)")
 def reconcile_to_remove(spark, d):
-    return sync.to_remove(N.notes(spark, d), N.indexed_ids(spark, d))
+    return sync.to_remove(N.candidates(spark, d), N.indexed_ids(spark, d))
 
 
 @query(f"WITH {INDEXED}, r AS (SELECT id, row_number() OVER (PARTITION BY id) AS occurrence FROM indexed) SELECT id, CAST(occurrence AS BIGINT) AS occurrence FROM r WHERE occurrence > 1")
@@ -531,7 +532,7 @@ ACTIONS = f"{INDEXED}, twice AS (SELECT id FROM (SELECT id, row_number() OVER (P
 
 @query(f"WITH {NOTES}, {ACTIONS} SELECT 'add' AS action, id FROM (SELECT DISTINCT id FROM notes WHERE id NOT IN (SELECT id FROM indexed) UNION ALL SELECT id FROM twice) UNION ALL SELECT 'remove', id FROM (SELECT DISTINCT id FROM indexed WHERE id NOT IN (SELECT id FROM notes) UNION ALL SELECT id FROM twice)")
 def sync_actions(spark, d):
-    return sync.sync_actions(N.notes(spark, d), N.indexed_ids(spark, d))
+    return sync.sync_actions(N.candidates(spark, d), N.indexed_ids(spark, d))
 
 
 VALID = f"{CANDIDATES}, valid AS (SELECT * FROM candidates WHERE NOT {IGNORED})"
@@ -577,6 +578,7 @@ def sync_run(spark, d):
     """Candidates to outcomes and the index that follows, in one job: only rows that are new are embedded."""
     n = N.notes(spark, d)
     ready = PR.prepare(n.select("id"), n).withColumn("content_hash", T.content_hash("prepared_text"))
+    ready = saved(ready)
     outcome = sync.index_outcome(ready, ready.where("length(prepared_text) % 2 = 0"), N.rules(spark))
     new = outcome.where("outcome = 'indexed'").select("id").join(ready, "id")
     vectors = PR.letter_vectors(new).select("id", F.round(V.norm(V.normalize(F.col("embedding"))), 6).alias("norm"))

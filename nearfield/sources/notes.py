@@ -10,9 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """df, dealt anew if its files give fewer partitions than there are cores, as a small file does. Larger tables aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title, markdown): documents as notes, their source being the folder."""
-    d = table(spark, sf_dir, "documents")
+    d = spread_out(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("id"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("markdown"))
 
 
