@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids and texts, dealt anew if their files give fewer partitions than there are cores, as a small file does. Larger tables aren't moved."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that the cluster shares; its lineage ends there.
 

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import string_buffers, table
+from .common import string_buffers, texts
 
 #: A frame is 8 by 8 samples of 8 bits. FPS frames are a second; every KEY_EVERY-th frame is a key frame, PER_CHUNK lie together.
 FRAME, FPS, KEY_EVERY, PER_CHUNK = 64, 25, 16, 256
@@ -211,4 +211,4 @@ def digest(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return digest(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return digest(texts(spark, sf_dir), "doc_id", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, saved, slices, string_buffers, table
+from .common import components, saved, slices, string_buffers, texts
 
 HASHES, BATCH, MISS = 120, 24, 1e-6
 #: Buckets beyond this size are compared in blocks, with exact sets, and give no pairs.
@@ -227,7 +227,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
 
 
 def query(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
+    return near_duplicates(texts(spark, sf_dir), "doc_id", "text", k=3, percent=85)
 
 
 def keep_one(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:

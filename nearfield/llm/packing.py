@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import on_worker, saved, slices, table
+from .common import on_worker, saved, slices, texts
 
 CAPACITY, ROWS_EACH, SALTS = 2048, 20_000, 16
 #: Fixed value: the pattern that splits a text before the merges, in its public form without backtracking.
@@ -176,4 +176,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(texts(spark, sf_dir), "doc_id", "text")

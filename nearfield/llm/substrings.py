@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import saved, slices, string_buffers, table
+from .common import saved, slices, string_buffers, texts
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text looked at in one go, of suffixes sorted into one run, and of runs merged by one task on average.
@@ -359,4 +359,4 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
 
 
 def query(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return remove_repeats(texts(spark, sf_dir), "doc_id", "text")
