@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 from collections.abc import Callable
@@ -39,6 +40,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of shuffle files that nothing refers to any more, as after saved(): Spark deletes them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def on_worker(key: tuple, make: Callable[[], object]) -> object:
     """make()'s value, made once for each Python worker; sys outlives the functions sent for a task."""
     kept = sys.__dict__.setdefault("_nearfield_kept", {})
