@@ -99,8 +99,10 @@ def _name(kind: str, m: Column, digest: Column) -> Column:
 
 def surrogate(key: str, kind: Column, m: Column, attempt: Column) -> Column:
     """The replacement of one mention: the same type, case and format, chosen by a keyed digest of its canonical value. A domain's ending stays, and the first digit after a plus."""
-    value = canonical(kind, m)
-    digest = _digest(key, kind, value, attempt)
+    return _let(_digest(key, kind, canonical(kind, m), attempt), lambda digest: _from_digest(kind, m, digest))
+
+
+def _from_digest(kind: Column, m: Column, digest: Column) -> Column:
     ip = F.concat_ws(".", *[_byte(digest, i).cast("string") for i in range(4)])
     host = F.regexp_extract(m, r"(?:\.[^.@]+){1,2}$", 0)
     local = F.substr(m, F.lit(1), F.length(m) - F.length(host))
@@ -134,11 +136,11 @@ def collided(df: DataFrame, text: str, key: str = KEY) -> DataFrame:
     Values are compared in canonical form. Of those that share a surrogate the least keeps it, unless it is a
     value of the data; the others are hashed again, up to ROUNDS times. Runs on distinct values.
     """
-    values = saved(_entities(df, text).withColumn("attempt", F.lit(0)))
     # a surrogate in canonical form says whether two differ: a canonical mention is itself a mention, names but for the title
-    made = lambda rows: rows.withColumn("made", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.when(F.col("kind").isin(*FIRST), F.concat(F.lit("x "), "value")).otherwise(F.col("value")), F.col("attempt"))))
-    rows = made(values)
-    originals = values.select("kind", F.col("value").alias("made"), F.lit(True).alias("taken"))
+    mention = F.when(F.col("kind").isin(*FIRST), F.concat(F.lit("x "), "value")).otherwise(F.col("value"))
+    made = lambda rows: rows.withColumn("made", _let(surrogate(key, F.col("kind"), mention, F.col("attempt")), lambda new: canonical(F.col("kind"), new)))
+    rows = saved(made(_entities(df, text).withColumn("attempt", F.lit(0))))
+    originals = rows.select("kind", F.col("value").alias("made"), F.lit(True).alias("taken"))
     for _ in range(ROUNDS):
         first = rows.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("c"))
         bad = rows.join(first.where("c > 1"), ["kind", "made"]).where(F.struct("attempt", "value") != F.col("first")).select("kind", "value")
