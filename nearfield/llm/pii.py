@@ -27,6 +27,8 @@ PATTERNS = {
     "man_ru": r"\bГосподин\s\p{Lu}[\p{L}-]+(?:\s\p{Lu}[\p{L}-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A text without any of these has no mention: each pattern needs a digit, an @, a long run of hex letters or the beginning of a title.
+SUSPECT = "[0-9@]|[A-Fa-f]{32}|(?:Mr|Ms|M[rm][se]|Frau|Herr|Mons|Madame|Seño|Sra?|Госп)"
 #: First names by gender and script, and syllables of last names by script.
 FIRST = {
     "woman": ["Anna", "Clara", "Diana", "Elena", "Irene", "Julia", "Laura", "Maria", "Nora", "Olga", "Paula", "Rita", "Sara", "Vera", "Lena", "Eva"],
@@ -125,7 +127,7 @@ def _let(value: Column, use) -> Column:
 
 
 def _entities(df: DataFrame, text: str) -> DataFrame:
-    found = df.where(F.col(text).rlike("[0-9]|(?:Mr|Ms|M[rm][se]|Frau|Herr|Mons|Madame|Seño|Sra?|Госп)")).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("m"))
+    found = df.where(F.col(text).rlike(SUSPECT)).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("m"))
     kinds = found.groupBy("m").agg(F.lit(1).alias("one")).select("m", kind_of(F.col("m")).alias("kind")).where("kind is not null")
     return kinds.select("kind", canonical(F.col("kind"), F.col("m")).alias("value")).distinct()
 
@@ -165,7 +167,7 @@ def replace(df: DataFrame, text: str, key: str = KEY) -> DataFrame:
     n = again.count()
     parts = F.split(F.col(text), ANY, -1)
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    suspect = F.col(text).rlike("[0-9]|(?:Mr|Ms|M[rm][se]|Frau|Herr|Mons|Madame|Seño|Sra?|Госп)")
+    suspect = F.col(text).rlike(SUSPECT)
     rows = df
     attempts = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     if n:

@@ -228,6 +228,15 @@ def test_clean_texts_stay(spark):
     assert pii.replace(empty(spark), "text").count() == 0
 
 
+def test_mentions_without_digit_or_title(spark):
+    secret = "abcdefabcdefabcdefabcdefabcdefab"
+    mail, hidden = swap(spark, "write to jane.doe@corp.com", f"the key is {secret} here")
+    assert mail.startswith("write to ") and mail.endswith(".com") and "jane.doe" not in mail
+    assert secret not in hidden and len(hidden) == len(f"the key is {secret} here")
+    rows = spark.createDataFrame([(1, "write to jane.doe@corp.com"), (2, secret)], "doc_id long, text string")
+    assert {(r["kind"], r["value"]) for r in pii._entities(rows, "text").collect()} == {("email", "jane.doe@corp.com"), ("secret", secret)}
+
+
 def test_distinct_values_stay_distinct(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"10.{k // 256}.{k % 256}.1") for k in range(150)], "doc_id long, text string")
     monkeypatch.setattr(pii, "_byte", lambda digest, i, f=pii._byte: f(digest, i) % 5)  # 5**4 addresses: many collide
