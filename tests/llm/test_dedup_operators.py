@@ -242,6 +242,49 @@ def test_near_passages(spark):
     assert passages.near_passages(spark.createDataFrame([], DOCS), "doc_id", "text").count() == 0
 
 
+def edited(r, words, times):
+    """words with as many replaced, inserted or deleted, but not at the ends."""
+    out = list(words)
+    for k in range(times):
+        at = r.randrange(1, len(out) - 1)
+        out[at : at + (k % 3 != 1)] = [] if k % 3 == 2 else [f"other{r.random()}"]
+    return out
+
+
+def test_common_passages_with_insertions_and_deletions():
+    r = random.Random(8)
+    held = lambda words: passages.tokens(np.array([zlib.crc32(w.encode()) for w in words], np.uint64))
+    fresh = lambda n: [f"w{r.random()}" for _ in range(n)]
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    near = 0
+    for k in range(300):
+        one = fresh(r.choice([50, 60, 80, 98, 130]))
+        other = edited(r, one, 1 + k % 3)
+        x, y = held(fresh(40) + one + fresh(40)), held(fresh(25) + other + fresh(60))
+        places = [(i, int(np.flatnonzero(y == v)[0])) for i, v in enumerate(x) if v in y]
+        got = passages.common_passages(x, y, [r.choice(places)], 46, 80)
+        assert all(b - a >= 46 and q - p >= 46 and alike(x[a:b], y[p:q]) >= 0.8 for a, b, p, q in got)
+        if alike(held(one), held(other)) >= 0.8 and min(len(one), len(other)) >= 50:
+            near += 1
+            assert got
+    assert near > 100
+    same = held(["a"] * 3000)
+    assert passages.common_passages(same, same[:2900], [(k, k // 2) for k in range(0, 2900, 50)], 46, 80)
+
+
+def test_near_passages_with_an_insertion(spark):
+    r = random.Random(9)
+    fresh = lambda n: [f"w{r.randrange(1 << 40)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        one = fresh(60)
+        other = one[:30] + ["inserted"] + one[30:] if k % 2 else one[:30] + one[31:]
+        rows += [(2 * k, " ".join(fresh(40) + one + fresh(30))), (2 * k + 1, " ".join(fresh(20) + other + fresh(50)))]
+    got = {x["doc_id"]: x["component_id"] for x in passages.near_passages(spark.createDataFrame(rows, DOCS), "doc_id", "text").collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 36  # windows of enough hashes have 0.97 of them
+
+
 # --- quality -------------------------------------------------------------------------------------------
 def test_quality(spark):
     r, words = random.Random(4), vocabulary(400)
