@@ -22,8 +22,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """text -> ids of the byte-level BPE in a tokenizers file, special tokens as ordinary text.
+def encoder(path: str, added: bool = False):
+    """text -> ids of the byte-level BPE in a tokenizers file; the file's added tokens as ordinary text or, with ``added``, as their own ids.
+
+    The latter is what the tokenizers library does by default, with or without add_special_tokens.
 
     Vocabulary and merges are read from the file. Merges of such a file are in order of rank, so
     its vocabulary without special tokens is a rank table, from which tiktoken gives the same ids in a
@@ -44,14 +46,20 @@ def encoder(path: str):
     assert set(letters) == set(pre_tokenizers.ByteLevel.alphabet())
     special = {t["content"] for t in held["added_tokens"] if t["special"]}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in held["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if any(t[how] for t in held["added_tokens"] for how in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in or look at what is beside them")
+    own = {t["content"]: t["id"] for t in held["added_tokens"]}
+    encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=own).encode
+    return lambda text: encode(text, allowed_special="all")
 
 
 def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]): each row's tokens and a closing 0, cut if longer than capacity.
 
     All pieces of a document but the first are capacity long. Texts are tokenized whole, null as
-    empty (one piece with the 0 alone). The file at path must be on every machine.
+    empty (one piece with the 0 alone); an added token that a text spells out has its own id. The file at path must be on every machine.
     """
     import pyarrow as pa
 
@@ -59,7 +67,7 @@ def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, path: s
     names = ["__key", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def run(batches):
-        encode = on_worker(("encoder", path), lambda: encoder(path))
+        encode = on_worker(("encoder", path, "added"), lambda: encoder(path, added=True))
         for batch in batches:
             for some in slices(batch, 1):
                 of, out = [], []

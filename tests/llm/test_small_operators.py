@@ -59,6 +59,17 @@ def test_encoder_agrees_with_tokenizers():
     assert [encode(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "a  <|endoftext|>  b\n", "<|endoftext|><|endoftext|>x", "<|endoftext |> <|ENDOFTEXT|>", "  a  b\n\n c\t", ""]
+    texts += [r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' LIMIT 50").fetchall()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["__key"]: r["ids"] for r in packing.pieces(df, "doc_id", "text", capacity=1 << 20, ids=True).collect()}
+    assert got == {k: [*e.ids, 0] for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=20))
 def test_runs_are_best_fit(counts):
