@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import components, saved, table
 from .neardup import forest
 
-#: Codes are learned on at most SAMPLE vectors, those whose hash is least. TABLES substrings of BITS to MOST_BITS bits are looked up.
+#: Codes are learned on at most SAMPLE vectors, those whose hash is least. Substrings of BITS to MOST_BITS bits are looked up: TABLES of BITS, more of longer ones.
 SAMPLE, ITERATIONS, TABLES, BITS, MOST_BITS = 8_192, 30, 32, 10, 24
 COSINE, BLOCK = 0.95, 512
 
@@ -43,7 +43,12 @@ class Codes:
     def __init__(self, sample: np.ndarray, dim: int, tables: int = TABLES, bits: int = BITS):
         self.tables, self.bits = tables, bits
         each = max(1, dim // bits)  # tables that one rotation feeds
-        self.parts = [rotation(sample, bits * min(each, tables - k), seed=k) for k in range(0, tables, each)]
+        self.parts = []
+        for k in range(0, tables, each):
+            columns = bits * min(each, tables - k)
+            # all directions are rotated, so that a pair that differs most in some of them isn't missed by every table
+            mean, p = rotation(sample, max(dim, columns), seed=k)
+            self.parts.append((mean, p[:, :columns]))
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """A key for each row and table."""
@@ -51,6 +56,14 @@ class Codes:
         return bit.reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
+def tables_for(bits: int, tables: int, least: float) -> int:
+    """How many tables of ``bits`` bits miss a pair at cosine ``least`` no more often than ``tables`` tables of BITS bits."""
+    same = 1 - np.arccos(least) / np.pi  # the probability that a bit is
+    if not 0 < same < 1:
+        return tables
+    return max(tables, int(np.ceil(tables * np.log1p(-(same**BITS)) / np.log1p(-(same**bits)))))
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.array(vectors.tolist(), np.float64)
     return m / np.sqrt((m * m).sum(1, keepdims=True))
@@ -63,7 +76,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
     of the tables' keys; n_links is the number of other rows linked directly, component_id the least key
     reached. Every vector is in every table; with an angle of 18 degrees (0.95) and 10 bits a pair shares
     none of 32 keys with probability 1e-6 or so, nearer pairs far less. bits grow with the number of vectors, so that a bucket
-    keeps its size. A bucket beyond BLOCK members is compared in blocks; links are counted at the first table where
+    keeps its size, and tables with bits, so that this probability stays (54 at 14 bits, 171 at 24); ``tables`` is their number at 10 bits. A bucket beyond BLOCK members is compared in blocks; links are counted at the first table where
     a pair meets, and leave a block as counts and as a spanning forest, never as pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own
@@ -86,6 +99,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
     if len(dims) > 1:
         raise ValueError("vectors of different lengths")
     width = bits or min(MOST_BITS, max(BITS, int(np.log2(n)) - 5), dims[0]["d"])
+    tables = tables_for(width, tables, least)
     drawn = sorted((r["rep"], r["v"]) for r in reps.orderBy(F.xxhash64("rep")).limit(sample).collect())
     x = np.array([r[1] for r in drawn])
     sent = df.sparkSession.sparkContext.broadcast(Codes(x / np.sqrt((x * x).sum(1, keepdims=True)), dims[0]["d"], tables, width))

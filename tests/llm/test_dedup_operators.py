@@ -147,6 +147,24 @@ def test_near_vectors(spark, monkeypatch):
     assert embdup.near_vectors(none, "vec_id", "embedding").count() == 0
 
 
+def test_wide_keys_lose_no_links(spark):
+    r = np.random.default_rng(6)
+    one, other = r.normal(size=(2, 600, 40))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    rows = np.concatenate([one, 0.9501 * one + np.sqrt(1 - 0.9501**2) * other])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: x["component_id"] for x in embdup.near_vectors(df, "vec_id", "embedding", bits=24).collect()}
+    assert all(got[k + 600] == got[k] == k for k in range(600))
+
+
+def test_tables_grow_with_bits():
+    same = 1 - np.arccos(0.95) / np.pi
+    missed = [(1 - same**bits) ** embdup.tables_for(bits, embdup.TABLES, embdup.COSINE) for bits in range(embdup.BITS, embdup.MOST_BITS + 1)]
+    assert embdup.tables_for(embdup.BITS, embdup.TABLES, embdup.COSINE) == embdup.TABLES and max(missed) <= missed[0] * 1.0001 < 2e-6
+
+
 def test_codes_are_balanced_and_near():
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 16)) @ r.normal(size=(16, 16))
