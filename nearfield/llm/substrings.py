@@ -212,6 +212,24 @@ def repeated(group: list[tuple[bytes, bytes, list]], length: int) -> list[tuple[
     return out
 
 
+def places(raw: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """(text, anchor's hash, anchor) arrays: each anchor of the texts once, with its text's number and its place there.
+
+    A window has one anchor wherever the bytes are cut into chunks, but a run of windows is cut with them: so anchors, and
+    not runs, say what is chosen.
+    """
+    text, h, anchor, _, _ = anchors(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), length, gram)
+    new = (np.diff(text, prepend=-1) != 0) | (np.diff(anchor, prepend=-1) != 0)
+    return text[new], h[new], anchor[new]
+
+
+def suffixes(raw: bytes, chosen: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """(anchor's hash, anchor, first, last) arrays: a text's runs of windows whose anchors are at the chosen places."""
+    _, h, anchor, first, last = anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), length, gram)
+    pick = np.isin(anchor, chosen)
+    return h[pick], anchor[pick], first[pick], last[pick]
+
+
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(digest, first, end): bytes of distinct texts(digest, z) under windows that start elsewhere too. Parts overlap."""
     import pyarrow as pa
@@ -222,25 +240,18 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def find(batches):
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
-                raw = unpack(batch, 1)
-                at = np.cumsum([0, *map(len, raw)])
-                text, h, _, first, _ = anchors(np.frombuffer(b"".join(raw), np.uint8), at, length, gram)
+                text, h, anchor = places(unpack(batch, 1), length, gram)
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(first)], ["digest", "h", "first"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(anchor)], ["digest", "h", "anchor"])
 
-    found = saved(texts.select("digest", "z").mapInArrow(find, "digest binary, h long, first long"))
+    found = saved(texts.select("digest", "z").mapInArrow(find, "digest binary, h long, anchor long"))
     often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    wanted = found.join(often, "h").groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("c") <= HOT, F.col("first")))).alias("some"), F.sort_array(F.collect_list(F.when(F.col("c") > HOT, F.col("first")))).alias("hot"))
+    wanted = found.join(often, "h").groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("c") <= HOT, F.col("anchor")))).alias("some"), F.sort_array(F.collect_list(F.when(F.col("c") > HOT, F.col("anchor")))).alias("hot"))
     held = saved(wanted)
     n_wanted = held.agg(F.sum(F.size("some"))).first()[0] or 0
     parts = max(64, n_wanted * 3 * length // 2 // MERGE)
     rows = texts.select("digest", "z").join(held, "digest")
 
-    def suffixes(raw: bytes, chosen: np.ndarray):
-        _, h, anchor, first, last = anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), length, gram)
-        pick = np.isin(first, chosen)
-        return h[pick], anchor[pick], first[pick], last[pick]
-
     def sort(batches):
         def runs(entries):
             by_part: dict[int, list] = {}
@@ -255,7 +266,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 if not len(chosen):
                     continue
                 raw = zlib.decompress(z)
-                for h, a, p, q in zip(*(x.tolist() for x in suffixes(raw, chosen)), strict=True):
+                for h, a, p, q in zip(*(x.tolist() for x in suffixes(raw, chosen, length, gram)), strict=True):
                     key = (h.to_bytes(8, "big") + raw[a : q + length], raw[p:a])
                     refs = entries.get(key)
                     if refs is None:
@@ -302,7 +313,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         for batch in batches:
             for digest, z, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = zlib.decompress(z)
-                for _, _, p, q in zip(*(x.tolist() for x in suffixes(raw, some.values.to_numpy())), strict=True):
+                for _, _, p, q in zip(*(x.tolist() for x in suffixes(raw, some.values.to_numpy(), length, gram)), strict=True):
                     names = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(p, q + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array([digest] * len(names), pa.binary()), pa.array(names, pa.binary()), pa.array(range(p, q + 1), pa.int64())], ["digest", "name", "first"])
 

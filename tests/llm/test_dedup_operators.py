@@ -226,6 +226,17 @@ def test_loser_tree():
             before = suffix
 
 
+def test_anchors_are_chosen_wherever_chunks_end(monkeypatch):
+    r = random.Random(10)
+    raw = ["".join(r.choice("abcdefgh") for _ in range(n)).encode() for n in (170, 2000, 1300)]
+    monkeypatch.setattr(substrings, "CHUNK", 300)
+    text, h, anchor = substrings.places(raw, 90, 24)
+    for k, t in enumerate(raw):
+        hashes, _, first, last = substrings.suffixes(t, anchor[text == k], 90, 24)
+        windows = [i for a, b in zip(first.tolist(), last.tolist(), strict=True) for i in range(a, b + 1)]
+        assert windows == list(range(len(t) - 89)) and set(hashes.tolist()) == set(h[text == k].tolist())
+
+
 # --- passages ------------------------------------------------------------------------------------------
 def test_compact_windows():
     r = np.random.default_rng(0)
