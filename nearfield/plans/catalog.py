@@ -156,9 +156,15 @@ def read_legacy(spark, d):
 
 def _legacy(spark, d, migrate_to=None):
     folder = _folder(spark)
-    rows = N.index(spark, d).orderBy("id").limit(200).collect()  # the fixture is 200 rows
-    root = {"schemaVersion": 1, "index": [{"id": r["id"], "embedding": r["embedding"], "contentHash": r["content_hash"], "updatedAt": r["updated_at"]} for r in rows]}
-    sidecar._put(spark, f"{folder}/data.json", [json.dumps(root).encode()])
+
+    def root():
+        yield b'{"schemaVersion": 1, "index": ['
+        for k, r in enumerate(N.index(spark, d).orderBy("id").toLocalIterator()):
+            entry = {"id": r["id"], "embedding": r["embedding"], "contentHash": r["content_hash"], "updatedAt": r["updated_at"]}
+            yield (", " if k else "").encode() + json.dumps(entry).encode()
+        yield b"]}"
+
+    sidecar._put(spark, f"{folder}/data.json", root())
     if migrate_to is None:
         return sidecar.read_legacy(spark, f"{folder}/data.json")
     sidecar.migrate(spark, f"{folder}/data.json", migrate_to)

@@ -39,6 +39,13 @@ def test_query(spark, duck, name):
     assert got == plain(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_legacy_root_has_all_rows(spark):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert n > 200
+    assert catalog.QUERIES["read_legacy"](spark, DATA).count() == n
+    assert catalog.QUERIES["migrate_v1"](spark, DATA).select("id").distinct().count() == n
+
+
 def test_nothing_else_imports_llm():
     for path in (Path(__file__).parent.parent / "nearfield").rglob("*.py"):
         if "llm" not in path.parts:
