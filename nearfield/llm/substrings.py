@@ -245,7 +245,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(anchor)], ["digest", "h", "anchor"])
 
     found = saved(texts.select("digest", "z").mapInArrow(find, "digest binary, h long, anchor long"))
-    often = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # counted in advance: a join whose both sides are exchanges can split an anchor that many texts have
+    often = saved(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     wanted = found.join(often, "h").groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("c") <= HOT, F.col("anchor")))).alias("some"), F.sort_array(F.collect_list(F.when(F.col("c") > HOT, F.col("anchor")))).alias("hot"))
     held = saved(wanted)
     n_wanted = held.agg(F.sum(F.size("some"))).first()[0] or 0
@@ -370,4 +371,5 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
 
 
 def query(spark, sf_dir):
+    """op10: documents' bytes under repeated strings of 400 bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(texts(spark, sf_dir), "doc_id", "text")
