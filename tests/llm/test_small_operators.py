@@ -159,7 +159,10 @@ def test_mix(spark):
         assert abs(taken - mine[0]["target"]) < 0.1 * mine[0]["target"] and all(0 <= r["copies"] <= 3 for r in mine)
     out = mixing.emit(df, "doc_id", "text", "source")
     assert out.columns == df.columns
-    assert out.where("doc_id is not null").count() == sum(r["copies"] for r in got if r["doc_id"] is not None)
+    assert out.count() == sum(r["copies"] for r in got)
+    twice = df.unionByName(df.where("doc_id = 7"))
+    plan = [r["copies"] for r in mixing.mix(twice, "doc_id", "text", "source").collect()]
+    assert mixing.emit(twice, "doc_id", "text", "source").count() == sum(plan) and max(plan) <= 3
     assert mixing.mix(empty(spark), "doc_id", "text", "source").count() == 0
 
 
