@@ -26,17 +26,24 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Only on a single machine, as in tests, a temporary one stands in where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="nearfield-")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder that the cluster shares; its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place. The files go when the
+    The folder is the session's (shared_folder()). The files go when the
     DataFrame is no longer referred to, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

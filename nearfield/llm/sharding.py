@@ -53,16 +53,21 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
 
 
 def write_shards(df: DataFrame, path: str, rows_each: int = 1_000_000) -> None:
-    """Writes placed rows under path/shard=...; files take about rows_each rows, so a large shard has many writers."""
+    """Writes placed rows under path/shard=...; files take about rows_each rows, so a large shard has many writers, also one of equal rows.
+
+    The salt is a row's place in its partition of the input, which a task that runs again gives again if its input
+    comes in the same order, as files and checkpoints do.
+    """
     parts = max(1, -(-df.count() // rows_each))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "shard"][:4]), F.lit(parts))
-    df.repartition("shard", salt).write.partitionBy("shard").parquet(path)
+    place = F.monotonically_increasing_id()
+    df.withColumn("__salt", F.pmod(F.xxhash64(place), F.lit(parts))).repartition("shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
 
 
 NAMES = [f"shard-{k:02d}" for k in range(SHARDS)]
 
 
 def query(spark, sf_dir):
+    """op1: the shard of every document: doc_id, slot, shard."""
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", NAMES)
 
 
