@@ -14,7 +14,7 @@ from . import words as W
 from .common import components, saved, slices, string_buffers, texts
 
 HASHES, BATCH, MISS = 120, 24, 1e-6
-#: Buckets beyond this size are compared in blocks, with exact sets, and give no pairs.
+#: Buckets up to BUCKET members give all pairs, larger ones a pair with their representative for each member; what stays apart then is compared in blocks of BLOCK.
 BUCKET, BLOCK = 24, 400
 #: A list of ids up to this length (8 MB) is broadcast, a longer one joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -142,6 +142,46 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tu
     return [(i, m) for i, m in known.items() if i != m]
 
 
+def _apart(df: DataFrame, key: str, text: str, hot: DataFrame, linked: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Edges (a, b) between the components of one large bucket, from hot(band, bucket, id, rep) and linked(id, component); None if each bucket is in one.
+
+    Members outside of their representative's component, and all members, are dealt to blocks; a block of the ones and a block
+    of the others are compared by products of incidence matrices and give the edges of a spanning forest.
+    """
+    if hot.isEmpty():
+        return None
+    kind = hot.schema["id"].dataType.simpleString()
+    named = hot.join(linked, "id", "left").select("band", "bucket", "id", "rep", F.coalesce("component", "id").alias("label"))
+    named = saved(named)
+    main = saved(named.where("id = rep").select("band", "bucket", F.col("label").alias("main")))
+    sided = named.join(main, ["band", "bucket"]).select("band", "bucket", "id", (F.col("label") != F.col("main")).alias("other"))
+    counts = sided.groupBy("band", "bucket").agg(F.sum(F.col("other").cast("long")).alias("n"), F.count("*").alias("m")).where("n > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    open_ = saved(counts.select("band", "bucket", blocks("n").alias("xs"), blocks("m").alias("ys")))
+    if open_.isEmpty():
+        return None
+    rows = saved(sided.join(open_, ["band", "bucket"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = rows.where("other").select("band", "bucket", "id", mine("xs").alias("x"), every("ys").alias("y"), F.lit(True).alias("left"))
+    right = rows.select("band", "bucket", "id", every("xs").alias("x"), mine("ys").alias("y"), F.lit(False).alias("left"))
+    sets = saved(shingle_sets(df, key, text, saved(rows.select("id").distinct()), k))
+
+    def block(pdf):
+        import pandas as pd
+
+        one, two = pdf[pdf["left"]], pdf[~pdf["left"]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        ls, rs = ([np.asarray(s) for s in part["s"]] for part in (one, two))
+        common = common_counts(ls, rs).astype(np.int64)
+        union = np.array([len(s) for s in ls])[:, None] + np.array([len(s) for s in rs])[None, :] - common
+        edges = forest(100 * common >= percent * union, one["id"].to_numpy(np.int64), two["id"].to_numpy(np.int64))
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    return left.unionByName(right).join(sets, "id").groupBy("band", "bucket", "x", "y").applyInPandas(block, f"a {kind}, b {kind}")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of df; keys are whole numbers.
 
@@ -151,9 +191,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     is the row's own.
 
     Rows with the same set are one class, represented by their least key. Classes meet in bands of their
-    signatures. In buckets up to BUCKET members pairs are formed, compared by batches of hashes
-    (least_matches()), and confirmed on whole sets. Larger buckets are dealt to blocks whose sets are compared
-    at once, exactly, which gives a spanning forest of their links and no pairs. A linked pair is missed with
+    signatures. Buckets up to BUCKET members give their pairs, larger ones link each member to one of theirs, which a hash
+    chooses anew for each band. Pairs are compared by batches of hashes (least_matches()) and confirmed on whole sets. Members of
+    a large bucket that these links leave in another component than its representative are compared with all of
+    the bucket, exactly and in blocks, which gives a spanning forest of their links and no pairs. So a bucket of near copies costs a pair for each,
+    and no link between components is given up. A linked pair is missed with
     probability 1e-5 (no common band) or MISS (pruned) at most.
 
     Rows that repeat a key count as one document with several texts. Rows with a null key aren't linked: their
@@ -165,12 +207,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     classes = saved(good.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
     reps = good.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
     keyed = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = keyed.groupBy("band", "bucket").agg(F.count("*").alias("members")).where("members > 1")
+    chosen = F.min(F.struct(F.xxhash64("band", "id").alias("h"), "id"))["id"]
+    # counted in advance: a join whose both sides are exchanges can split a large bucket
+    sizes = saved(keyed.groupBy("band", "bucket").agg(F.count("*").alias("members"), chosen.alias("rep")).where("members > 1"))
     met = saved(keyed.join(sizes, ["band", "bucket"]))
 
     lists = met.where(F.col("members") <= BUCKET).groupBy("band", "bucket").agg(F.array_sort(F.collect_set("id")).alias("m"))
     pair = F.explode(F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x, i: F.struct(x.alias("b"), F.slice("m", F.lit(1), i + 1).alias("before"))))
-    pairs = lists.where("size(m) > 1").select(pair.alias("p")).select(F.explode("p.before").alias("a"), F.col("p.b").alias("b")).distinct()
+    pairs = lists.where("size(m) > 1").select(pair.alias("p")).select(F.explode("p.before").alias("a"), F.col("p.b").alias("b"))
+    hot = met.where(F.col("members") > BUCKET)
+    pairs = pairs.union(hot.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))).distinct()
     sigs = reps.select("id", "sig")
     with_a = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
     both = with_a.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -187,8 +233,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     kind = df.schema[key].dataType.simpleString()
     likely = saved(both.mapInArrow(verify, f"a {kind}, b {kind}").distinct())
 
-    hot = met.where(F.col("members") > BUCKET).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    needed = saved(likely.select(F.col("a").alias("id")).union(likely.select("b")).union(hot.select("id")).distinct())
+    needed = saved(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
     sets = saved(shingle_sets(df, key, text, needed, k))
 
     of_b = likely.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -196,25 +241,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
     shared = F.size(F.array_intersect("sa", "sb"))
     confirmed = full.withColumn("i", shared).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = hot.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id").join(sets, "id")
-
-    def block(pdf):
-        import pandas as pd
-
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        left, right = pdf[pdf["mine"] == x], pdf[pdf["mine"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        ls, rs = ([np.asarray(s) for s in part["s"]] for part in (left, right))
-        common = common_counts(ls, rs).astype(np.int64)
-        union = np.array([len(s) for s in ls])[:, None] + np.array([len(s) for s in rs])[None, :] - common
-        edges = forest(100 * common >= percent * union, left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64))
-        return pd.DataFrame(edges, columns=["a", "b"])
-
-    in_blocks = dealt.groupBy("band", "bucket", "x", "y").applyInPandas(block, f"a {kind}, b {kind}")
-    linked = components(confirmed.unionByName(in_blocks))
+    linked = saved(components(confirmed))
+    apart = _apart(df, key, text, hot, linked, k, percent)
+    if apart is not None:
+        linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(apart))
     classes = classes.join(linked, classes["rep"] == linked["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     same_key = good.groupBy("id").agg(F.count_distinct("digest").alias("c")).where("c > 1")
     if not same_key.isEmpty():  # a key with several texts joins their components
@@ -227,13 +257,30 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, percent: int
 
 
 def query(spark, sf_dir):
+    """op6: documents by 3-word shingles at 85%: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(texts(spark, sf_dir), "doc_id", "text", k=3, percent=85)
 
 
 def keep_one(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
-    """df's rows without near-duplicates: of each component the row with the least key stays. Rows with a null key stay; of rows that repeat a key one stays."""
-    kept = near_duplicates(df, key, text, k, percent).where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__kept")).distinct()
-    out = df.join(kept, df[key] == kept["__kept"], "left_semi")
-    if not df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.unionByName(df.where(F.col(key).isNull()))
+    """df's rows without near-duplicates: of each component one row stays, that with the least key.
+
+    Rows count by their texts: different texts under one key are documents of their own, as are texts without a
+    key, which come after all others; so only a copy or a near copy goes, and of repeated rows one stays. Texts without
+    words have no near copies and all stay. An empty table gives no rows.
+    """
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    rows = df.withColumn("__h", digest)
+    several = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min("__h").alias("__first"), F.max("__h").alias("__last")).where("__first <> __last")
+    several = saved(several.select("__k", "__first"))
+    # numbers far above real keys for texts that have none of their own
+    own = F.lit(1 << 62) + F.shiftright(F.xxhash64(F.col(key), "__h"), 2).bitwiseAND((1 << 61) - 1)
+    mine = F.col(key).isNotNull() & (F.col("__first").isNull() | (F.col("__first") == F.col("__h")))
+    rows = rows.join(several, rows[key] == several["__k"], "left").withColumn("__key", F.when(mine, F.col(key).cast("long")).otherwise(own)).drop("__h", "__k", "__first")
+    rows = saved(rows)
+    found = saved(near_duplicates(rows, "__key", text, k, percent).where("kept").groupBy("__key").agg(F.count("*").alias("__copies"), F.max("n_shingles").alias("__n")))
+    out = rows.join(found, "__key", "left_semi")
+    again = found.where("__copies > 1 and __n > 0").select("__key")
+    if not again.isEmpty():  # repeated rows
+        again = saved(again)
+        out = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(*df.columns)
