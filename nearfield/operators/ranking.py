@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
+    """The folder that all machines share: spark.checkpoint.dir. Only on a single machine, as in tests, a temporary one stands in where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
 
 
 def saved(df: DataFrame) -> DataFrame:
