@@ -73,7 +73,8 @@ def test_added_tokens_have_their_own_ids(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=20))
 def test_runs_are_best_fit(counts):
-    plan, opened = packing.best_fit_runs(counts, 64)
+    many = sum(counts.values())
+    plan, missing, left = packing.best_fit_runs(counts, [(64, 0, many)] if many else [], 64)
     gaps = []
     for length in sorted(counts, reverse=True):
         for _ in range(counts[length]):
@@ -83,7 +84,6 @@ def test_runs_are_best_fit(counts):
                 gaps.append(min(fits) - length)
             else:
                 gaps.append(64 - length)
-    assert opened == len(gaps)
     used = set()
     for length, n in counts.items():
         runs = plan[length]
@@ -94,9 +94,62 @@ def test_runs_are_best_fit(counts):
             cells = {(seq, c) for c in range(at, at + length)}
             assert not cells & used and at + length <= 64
             used |= cells
-    for seq in range(opened):
+    opened = {s for s, _ in used}
+    assert len(opened) == len(gaps) and not missing
+    for seq in opened:
         mine = sorted(c for s, c in used if s == seq)
         assert mine == list(range(len(mine)))
+    assert sorted(g for size, _, n in left for g in [size] * n) == sorted(g for g in gaps + [64] * (many - len(gaps)) if g)
+
+
+def test_pieces_without_a_gap_are_left():
+    plan, missing, left = packing.best_fit_runs({30: 3, 20: 2}, [(64, 5, 1), (25, 9, 1)], 64)
+    assert missing == {30: 1, 20: 1} and plan[30].tolist() == [[0, 5, 0, 2]] and plan[20].tolist() == [[0, 9, 39, 1]] and sorted(left) == [(4, 5, 1), (5, 9, 1)]
+
+
+def sequences_are_gapless(pieces, capacity=2048):
+    by = {}
+    for p in pieces:
+        by.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for spans in by.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize("rows_each", [20_000, 60])
+def test_pack_in_rounds(spark, rows_each):
+    """Many salts leave many pieces to later rounds; ties and repeated rows are placed one by one."""
+    r = np.random.default_rng(3)
+    rows = [(k, "a " * int(n), "s") for k, n in enumerate([*r.integers(1, 2040, 400), *[700] * 50, *[1500] * 40])] + [(9999, "b", "s")] * 30
+    got = packing.pack(spark.createDataFrame(rows, DOCS), "doc_id", "text", rows_each=rows_each).collect()
+    assert len(got) == len(rows)
+    lengths, counts = np.unique([p["length"] for p in got], return_counts=True)
+    plan, _, left = packing.best_fit_runs(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), [(2048, 0, len(got))])
+    at_once = len(got) - sum(n for size, _, n in left if size == 2048)
+    assert sequences_are_gapless(got) <= 1.03 * at_once
+
+
+def test_packing_query(spark):
+    """All documents' ids are the library's, their pieces add up, and the sequences are as few as can be."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+    got = packing.query(spark, DATA)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    pieces = got.collect()
+    by = {}
+    for p in pieces:
+        by.setdefault(p["doc_id"], []).append(p)
+    assert set(by) == {d for d, _ in docs}
+    for (doc, _), e in zip(docs, t.encode_batch([x or "" for _, x in docs], add_special_tokens=False), strict=True):
+        ids, mine = np.array([*e.ids, 0], "<u4"), sorted(by[doc], key=lambda p: p["piece"])
+        assert [p["piece"] for p in mine] == list(range(len(mine))) and sum(p["length"] for p in mine) == len(ids)
+        assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in mine)
+    lengths, counts = np.unique([p["length"] for p in pieces], return_counts=True)
+    _, _, left = packing.best_fit_runs(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), [(2048, 0, len(pieces))])
+    assert sequences_are_gapless(pieces) == len(pieces) - sum(n for size, _, n in left if size == 2048)  # best fit at once, the longest first
 
 
 def test_pack(spark):
@@ -118,6 +171,7 @@ def test_pack(spark):
         spans.sort()
         assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 2048
     assert len(by) == -(-sum(p["length"] for p in pieces) // 2048)
+    sequences_are_gapless(packing.pack(spark.createDataFrame(rows, DOCS), "doc_id", "text", rows_each=2).collect())
     assert sum(len(r["ids"]) for r in packing.sequences(got).collect()) == sum(p["length"] for p in pieces)
     assert packing.pack(empty(spark), "doc_id", "text").count() == 0
 
