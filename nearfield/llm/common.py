@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Callable
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,15 @@ def on_worker(key: tuple, make: Callable[[], object]) -> object:
     return kept[key]
 
 
+def shrunk(raw: bytes) -> bytes:
+    """Bytes as they travel between steps, compressed."""
+    return on_worker(("shrink",), lambda: zstandard.ZstdCompressor(level=3)).compress(raw)
+
+
+def grown(z: bytes) -> bytes:
+    return on_worker(("grow",), zstandard.ZstdDecompressor).decompress(z)
+
+
 def md5_int(key: Column, first: int, digits: int) -> Column:
     """An integer from hexadecimal digits of md5(key), the first of them being 1."""
     return F.conv(F.substring(F.md5(key), first, digits), 16, 10).cast("long")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import saved, slices, string_buffers, texts
+from .common import grown, saved, shrunk, slices, string_buffers, texts
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text looked at in one go, of suffixes sorted into one run, and of runs merged by one task on average.
@@ -108,12 +107,12 @@ def write_run(entries: list[tuple[bytes, bytes, list]]) -> bytes:
             shared = common_prefix(before, suffix)
             out.append(struct.pack(_ENTRY, shared, len(suffix) - shared, len(back), len(some)) + suffix[shared:] + back + b"".join(struct.pack(_REF, *r) for r in some))
             before = suffix
-    return zlib.compress(b"".join(out), 1)
+    return shrunk(b"".join(out))
 
 
 def read_run(run: bytes):
     """(common prefix with the one before, suffix, back, references) of a run."""
-    data, at, before = zlib.decompress(run), 0, b""
+    data, at, before = grown(run), 0, b""
     while at < len(data):
         shared, rest, n_back, n_refs = struct.unpack_from(_ENTRY, data, at)
         at += 8
@@ -235,7 +234,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     import pyarrow as pa
 
     def unpack(batch, i):
-        return [zlib.decompress(z) for z in batch.column(i).to_pylist()]
+        return [grown(z) for z in batch.column(i).to_pylist()]
 
     def find(batches):
         for whole in batches:
@@ -266,7 +265,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 chosen = some.values.to_numpy()
                 if not len(chosen):
                     continue
-                raw = zlib.decompress(z)
+                raw = grown(z)
                 for h, a, p, q in zip(*(x.tolist() for x in suffixes(raw, chosen, length, gram)), strict=True):
                     key = (h.to_bytes(8, "big") + raw[a : q + length], raw[p:a])
                     refs = entries.get(key)
@@ -313,7 +312,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def windows(batches):
         for batch in batches:
             for digest, z, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = zlib.decompress(z)
+                raw = grown(z)
                 for _, _, p, q in zip(*(x.tolist() for x in suffixes(raw, some.values.to_numpy(), length, gram)), strict=True):
                     names = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(p, q + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array([digest] * len(names), pa.binary()), pa.array(names, pa.binary()), pa.array(range(p, q + 1), pa.int64())], ["digest", "name", "first"])
@@ -340,7 +339,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
             for some in slices(whole, 0):
                 data, at = string_buffers(some.column(0))
                 raw = [data[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array([zlib.compress(r, 1) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], ["digest", "z", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array([shrunk(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], ["digest", "z", "n_bytes"])
 
     packed = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(pack, "digest binary, z binary, n_bytes long")
     texts = saved(packed.groupBy("digest").agg(F.first("z").alias("z"), F.first("n_bytes").alias("n_bytes"), F.count("*").alias("copies")))
@@ -358,7 +357,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, length: int = LENGTH, gra
                         joined[-1][1] = max(joined[-1][1], b)
                     else:
                         joined.append([a, b])
-                raw = zlib.decompress(z)
+                raw = grown(z)
                 kept = b"".join(raw[a:b] for a, b in zip([0, *(j[1] for j in joined)], [*(j[0] for j in joined), n], strict=True))
                 rows.append((n - len(kept), len(joined), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
             kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep_bytes
