@@ -16,7 +16,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: texts may be long, and both the JVM and Python hold a batch whole.
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """The session hands rows to Python in batches of BATCH_ROWS at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    in_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +54,7 @@ def saved(df: DataFrame) -> DataFrame:
     DataFrame is no longer referred to, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = df.sparkSession
+    in_small_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
@@ -87,14 +100,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating star contraction: larger neighbours are linked to the smallest one known,
     then smaller ones, until every edge is a star around its component's smallest id. Each
     round keeps at most the edges it got, groups are reduced by partial minima, and no
-    neighbourhood is gathered. Ids without an edge aren't in the result. Null ends, loops and
+    neighbourhood is gathered. Minima are written before they are joined, so that both sides of a join are exchanges
+    and the edges of a star's centre can be split. Ids without an edge aren't in the result. Null ends, loops and
     repeated edges are dropped; no edges give no rows.
     """
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
 
     def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return saved(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
 
     def sums(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -106,8 +120,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         e = both(now)
         large = e.join(least(e), "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))  # v < u throughout
-        small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
+        down = saved(large.select(F.col("a").alias("u"), F.col("b").alias("v")))  # v < u throughout
+        small = down.join(least(down), "u")
         now = saved(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         after = sums(now)
         if after == before:

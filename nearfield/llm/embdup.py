@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import components, saved, table
 from .neardup import forest
@@ -64,8 +65,12 @@ def tables_for(bits: int, tables: int, least: float) -> int:
     return max(tables, int(np.ceil(tables * np.log1p(-(same**BITS)) / np.log1p(-(same**bits)))))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), np.float64)
+def _unit(vectors, width: int) -> np.ndarray:
+    """Rows of unit length, shorter vectors with zeros behind. They are scaled by their largest component first, so squares neither over- nor underflow."""
+    m = np.zeros((len(vectors), width))
+    for row, v in zip(m, vectors, strict=True):
+        row[: len(v)] = v
+    m /= np.abs(m).max(1, keepdims=True)
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
@@ -80,14 +85,16 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
     a pair meets, and leave a block as counts and as a spanning forest, never as pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are their own
-    component. Equal vectors are compared once and counted. Vectors of another length than the most common one
-    are an error. Rows with a null key are kept and have no links; rows that repeat a key count as links of each other if
+    component. Vectors of different lengths aren't linked; their codes count a shorter one's missing components as zeros. Equal vectors are compared once and counted. Rows with a null key are kept and have no links; rows that repeat a key count as links of each other if
     their vectors are near. Other columns are left out. An empty table gives no rows.
     """
     v = F.col("v")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("ok", F.coalesce(usable, F.lit(False)) & F.col("id").isNotNull())
+    kind = df.schema[vector].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    # vectors move as they are stored, which for FLOAT is half of DOUBLE, and are compared in DOUBLE
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v")).withColumn("ok", F.coalesce(usable, F.lit(False)) & F.col("id").isNotNull())
     rows = saved(rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))))
     good = rows.where("ok")
     classes = saved(good.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
@@ -95,21 +102,18 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
     n = reps.count()
     if not n:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = reps.groupBy(F.size("v").alias("d")).count().limit(2).collect()
-    if len(dims) > 1:
-        raise ValueError("vectors of different lengths")
-    width = bits or min(MOST_BITS, max(BITS, int(np.log2(n)) - 5), dims[0]["d"])
+    dim = reps.agg(F.max(F.size("v"))).first()[0]
+    width = bits or min(MOST_BITS, max(BITS, int(np.log2(n)) - 5), dim)
     tables = tables_for(width, tables, least)
     drawn = sorted((r["rep"], r["v"]) for r in reps.orderBy(F.xxhash64("rep")).limit(sample).collect())
-    x = np.array([r[1] for r in drawn])
-    sent = df.sparkSession.sparkContext.broadcast(Codes(x / np.sqrt((x * x).sum(1, keepdims=True)), dims[0]["d"], tables, width))
+    sent = df.sparkSession.sparkContext.broadcast(Codes(_unit([r[1] for r in drawn], dim), dim, tables, width))
 
     def code(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"rep": b["rep"], "keys": list(sent.value.keys(_unit(b["v"])))})
+                yield pd.DataFrame({"rep": b["rep"], "keys": list(sent.value.keys(_unit(b["v"], dim)).astype(np.int32))})
 
-    coded = saved(reps.mapInPandas(code, "rep long, keys array<long>"))
+    coded = saved(reps.mapInPandas(code, "rep long, keys array<int>"))
     entries = coded.select("rep", F.posexplode("keys").alias("table", "bucket"))
     sizes = entries.groupBy("table", "bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = entries.join(sizes, ["table", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
@@ -121,7 +125,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
 
     def compare(pdf):
         edges, ids, counts = [], [], []
-        unit = _unit(pdf["v"])
+        unit, sizes = _unit(pdf["v"], dim), pdf["v"].map(len).to_numpy()
         keys = np.array(pdf["keys"].tolist())
         rep, copies, mine = (pdf[c].to_numpy(np.int64) for c in ("rep", "copies", "mine"))
         order = np.lexsort([pdf[c].to_numpy() for c in ("y", "x", "bucket", "table")])
@@ -133,7 +137,7 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
             if not len(i) or not len(j):
                 continue
             linked = unit[i] @ unit[j].T >= least
-            linked &= rep[i][:, None] != rep[j][None, :]
+            linked &= (rep[i][:, None] != rep[j][None, :]) & (sizes[i][:, None] == sizes[j][None, :])
             if not linked.any():
                 continue
             a, b = np.nonzero(linked)
@@ -163,4 +167,5 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
 
 
 def query(spark, sf_dir):
+    """op7: all vectors by cosine at 0.95: vec_id, n_links, component_id, kept."""
     return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")

@@ -160,6 +160,46 @@ def test_wide_keys_lose_no_links(spark):
     assert all(got[k + 600] == got[k] == k for k in range(600))
 
 
+def brute_links(rows):
+    unit = np.array([v / np.linalg.norm(v) for v in rows])
+    linked = unit @ unit.T >= 0.95
+    label = np.arange(len(rows))
+    while True:
+        new = np.where(linked, label[None, :], len(rows)).min(1)
+        if (new == label).all():
+            return linked.sum(1) - 1, label
+        label = new
+
+
+@pytest.mark.parametrize("bits", [None, 20, 24])
+def test_links_against_brute_force(spark, bits):
+    """With the tables of production: near pairs from 0.95 up, groups, and vectors that are alone."""
+    r = np.random.default_rng(7)
+    base = r.normal(size=(500, 64))
+    near = base[r.integers(0, 300, 900)]
+    noise = r.normal(size=near.shape)
+    noise -= (noise * near).sum(1, keepdims=True) / (near * near).sum(1, keepdims=True) * near
+    noise *= np.linalg.norm(near, axis=1, keepdims=True) / np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = r.uniform(0.95, 1, (900, 1))
+    rows = np.concatenate([base, cosine * near + np.sqrt(1 - cosine**2) * noise]).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {x["vec_id"]: x for x in embdup.near_vectors(df, "vec_id", "embedding", bits=bits).collect()}
+    links, label = brute_links(rows)
+    assert links.sum() > 1000
+    found = sum(got[k]["n_links"] for k in range(len(rows)))
+    assert all(got[k]["n_links"] <= links[k] for k in range(len(rows))) and found >= 0.999 * links.sum()
+    assert sum(got[k]["component_id"] == label[k] for k in range(len(rows))) >= 0.999 * len(rows)
+
+
+def test_vectors_of_odd_sizes(spark):
+    """Squares that over- or underflow, several lengths, repeated and null keys, and clashing names."""
+    v = [1.0, 2.0, -3.0]
+    rows = [(1, v), (2, [x * 1e-200 for x in v]), (3, [x * 1e200 for x in v]), (4, [*v, 0.0]), (5, [*v, 0.01]), (5, [*v, 0.01]), (6, [2 * x for x in v]), (None, v), (7, [5e-324, 1e-323, -1.5e-323])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, n_links long, component_id long")
+    got = sorted((tuple(x) for x in embdup.near_vectors(df, "vec_id", "embedding").collect()), key=str)
+    assert [(x[0], x[2]) for x in got] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 1), (7, 1), (None, None)]
+
+
 def test_tables_grow_with_bits():
     same = 1 - np.arccos(0.95) / np.pi
     missed = [(1 - same**bits) ** embdup.tables_for(bits, embdup.TABLES, embdup.COSINE) for bits in range(embdup.BITS, embdup.MOST_BITS + 1)]
