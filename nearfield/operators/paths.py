@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranking import saved
 
 
 def ignored(df: DataFrame, rules: DataFrame, key: str = "id", keep: bool = False) -> DataFrame:
@@ -21,10 +22,14 @@ def ignored(df: DataFrame, rules: DataFrame, key: str = "id", keep: bool = False
 
 
 def wikilinks(df: DataFrame, key: str = "id") -> DataFrame:
-    """Adds basename, target and link: the basename if no other row has it, else the path."""
-    many = F.count("*").over(Window.partitionBy("basename")) > 1
+    """Adds basename, target and link: the basename if no other row has it, else the path.
+
+    Basenames are counted, with partial counts in each partition, and rows join the repeated ones, so a common name isn't one task's.
+    """
     named = df.withColumn("basename", T.basename(F.col(key)))
-    named = named.withColumn("target", F.when(many, T.strip_md(F.col(key))).otherwise(F.col("basename")))
+    repeated = saved(named.groupBy(F.col("basename").alias("__name")).agg(F.count("*").alias("__n")).where("__n > 1"))
+    named = named.join(repeated, F.col("basename") == F.col("__name"), "left")
+    named = named.withColumn("target", F.when(F.col("__n").isNotNull(), T.strip_md(F.col(key))).otherwise(F.col("basename"))).drop("__name", "__n")
     return named.withColumn("link", F.concat(F.lit("[["), F.col("target"), F.lit("]]")))
 
 

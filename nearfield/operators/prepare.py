@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from queue import Empty, Queue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,29 +77,84 @@ def letter_vectors(prepared: DataFrame, key: str = "id", chunks: str = "chunks")
     return rows.groupBy(key).agg(*counts).select(key, F.array(*[f"__{c}" for c in LETTERS]).alias("embedding"))
 
 
-def embed_udf(load: Callable[[], Callable[[list[str]], list]], attempts: int = 3):
-    """A pandas UDF, text -> array<double>, around a model. load() runs once for each task and returns a batch function; a failed batch is tried again, up to attempts times. Blank texts give null."""
+def within(seconds: float | None, call: Callable, *args):
+    """call(*args), or TimeoutError after so many seconds; the call itself can't be stopped and is left to end by itself."""
+    if seconds is None:
+        return call(*args)
+    box: Queue = Queue()
+
+    def run():
+        try:
+            box.put((True, call(*args)))
+        except Exception as e:  # handed to the caller below
+            box.put((False, e))
+
+    Thread(target=run, daemon=True).start()
+    try:
+        ok, value = box.get(timeout=seconds)
+    except Empty:
+        raise TimeoutError(f"no answer in {seconds} s") from None
+    if not ok:
+        raise value
+    return value
+
+
+def _attempt(model: Callable[[list[str]], list], texts: list[str], attempts: int, seconds: float | None) -> list:
+    for left in reversed(range(attempts)):
+        try:
+            return within(seconds, model, texts) if texts else []
+        except Exception:
+            if not left:
+                raise
+    raise ValueError("attempts must be 1 or more")
+
+
+def embed_udf(load: Callable[[], Callable[[list[str]], list]], attempts: int = 3, seconds: float | None = 10):
+    """A pandas UDF, text -> array<double>, around a model. load() runs once for each task and returns a batch function; a batch that fails or takes longer than ``seconds`` is tried again, up to attempts times. Blank texts give null."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
             known = texts[texts.fillna("").str.strip() != ""]
-            for left in reversed(range(attempts)):
-                try:
-                    got = model(known.tolist())
-                    break
-                except Exception:
-                    if not left:
-                        raise
-            vectors = dict(zip(known.index, got, strict=True))
+            vectors = dict(zip(known.index, _attempt(model, known.tolist(), attempts, seconds), strict=True))
             yield pd.Series([vectors.get(i) for i in texts.index], dtype=object)
 
     return embed
 
 
+def tried_udf(load: Callable[[], Callable[[list[str]], list]], attempts: int = 3, seconds: float | None = 10):
+    """A pandas UDF, text -> (vector, error): as embed_udf(), but a text that fails by itself has an error, and the others of its batch their vectors."""
+
+    @F.pandas_udf("vector array<double>, error string")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            try:
+                out = [(v, None) for v in _attempt(model, texts.tolist(), attempts, seconds)]
+            except Exception:
+                out = []
+                for t in texts:
+                    try:
+                        out.append((_attempt(model, [t], attempts, seconds)[0], None))
+                    except Exception as e:
+                        out.append((None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["vector", "error"])
+
+    return embed
+
+
+def letters_tried(chunk: Column) -> Column:
+    """The stand-in embedder of letter_vectors() in the form of tried_udf(), by expressions."""
+    vector = F.array(*[(F.length(chunk) - F.length(F.replace(chunk, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    return F.struct(vector.alias("vector"), F.lit(None).cast("string").alias("error"))
+
+
 def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, pos, value): the mean of each component over a key's vectors, which weigh the same. Null and empty vectors don't count."""
+    """(key, pos, value): the mean of each component over a key's vectors, which weigh the same. Null and empty vectors don't count.
+
+    Components are summed within each partition before the shuffle, which moves a row for each key, component and partition.
+    """
     rows = df.where(F.size(vector) > 0).select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
     return rows.groupBy(key, "pos").agg(F.avg("x").alias("value"))
 

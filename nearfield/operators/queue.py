@@ -65,6 +65,15 @@ def counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def banner_of(fatal: str | None, busy: bool, done: bool) -> tuple[str, str]:
+    """(kind, message) of banner() for one run's state."""
+    if fatal:
+        return "failed", FAILED_LATER if done else FAILED_FIRST
+    if busy:
+        return ("updating", RUNNING_LATER) if done else ("initial", RUNNING_FIRST)
+    return "hidden", ""
+
+
 def banner(df: DataFrame) -> DataFrame:
     """Adds kind, message, progress_label and visible to snapshots(fatal_error, is_running, completed, pending, processed, total)."""
     failed, busy, done = F.col("fatal_error").isNotNull() & (F.col("fatal_error") != ""), F.col("is_running") | (F.col("pending") > 0), F.col("completed")

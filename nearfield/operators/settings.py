@@ -48,6 +48,11 @@ def validation_error() -> Column:
     return out
 
 
+def error_of(settings: Settings) -> str | None:
+    """validation_error() for one set of settings."""
+    return next((message for name, message in MESSAGES if getattr(settings, name) < (0 if name == "title_weight" else 1)), None)
+
+
 def parse_integer(text: Column) -> Column:
     """The whole number a text starts with, null without one."""
     return F.try_to_number(F.nullif(F.regexp_replace(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), r"^\+", ""), F.lit("")), F.lit("S999999999999999999")).cast("long")

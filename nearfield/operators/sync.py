@@ -62,10 +62,12 @@ def apply_plan(plan: DataFrame, index: DataFrame, queue: DataFrame) -> tuple[Dat
 def index_outcome(prepared: DataFrame, index: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, outcome, content_hash): removed, unchanged or indexed, from prepared(id, status, content_hash).
 
-    Everything here is known before a vector is made, so the embedder sees only rows whose outcome is indexed.
+    Of an index's rows with one id the first counts, by position where the index has it. Everything here is known before a vector
+    is made, so the embedder sees only rows whose outcome is indexed.
     """
     hit = ignored(prepared, rules).select("id", F.lit(True).alias("__ignored"))
-    known = index.select("id", F.col("content_hash").alias("__hash"))
+    first = F.min_by("content_hash", "position") if "position" in index.columns else F.min("content_hash")
+    known = index.groupBy("id").agg(first.alias("__hash"))
     rows = prepared.join(hit, "id", "left").join(known, "id", "left")
     gone = ~F.lower("id").endswith(".md") | F.col("__ignored").isNotNull() | (F.col("status") != "ready")
     outcome = F.when(gone, "removed").when(F.col("__hash").eqNullSafe(F.col("content_hash")), "unchanged").otherwise("indexed")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import index as I
+from ..operators import lifecycle
 from ..operators import paths as P
 from ..operators import prepare as PR
 from ..operators import queue as Q
@@ -19,6 +20,7 @@ from ..operators import stats, sync
 from ..operators.ranking import saved, shared_folder
 from ..sources import notes as N
 from ..sources import sidecar, synthetic
+from ..sources.store import Store
 from ..streaming import changes as C
 
 QUERIES: dict = {}
@@ -133,25 +135,51 @@ def _sidecar(spark, d):
     return folder
 
 
-@query()
+CODE = "least(127, greatest(-127, floor(CAST(x AS DOUBLE) * 127 + 0.5)))"
+STORED = f"stored AS (SELECT 'n' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '.md' AS id, lpad(lower(to_hex(vec_id)), 8, '0') AS content_hash, row_number() OVER (ORDER BY lpad(CAST(vec_id AS VARCHAR), 6, '0')) - 1 AS position, list_transform(embedding, lambda x: CAST(CAST({CODE} / 127 AS FLOAT) AS DOUBLE)) AS v FROM embeddings)"
+
+
+@query(f"WITH {STORED} SELECT id, content_hash, position, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM stored")
 def sidecar_scan(spark, d):
     return sidecar.read(spark, _sidecar(spark, d)).select("id", "content_hash", "position", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query()
+@query("SELECT false AS needs_rebuild")
 def needs_rebuild(spark, d):
     return sidecar.needs_rebuild(spark, _sidecar(spark, d))
 
 
-@query()
+@query(f"WITH {STORED} SELECT CAST(position AS INT) AS row, unnest(range(len(v))) AS pos, unnest(list_transform(v, lambda x: round(x, 6) + 0.0)) AS value FROM stored")
 def codec_decode(spark, d):
     files = spark.read.format("binaryFile").option("pathGlobFilter", "embeddings.bin").load(_sidecar(spark, d))
-    return sidecar.vectors(files).select("row", F.posexplode("embedding").alias("pos", "value"))
+    values = sidecar.vectors(files).select("row", F.posexplode("embedding").alias("pos", "x"))
+    return values.select("row", F.col("pos").cast("long").alias("pos"), (F.round(F.col("x").cast("double"), 6) + 0.0).alias("value"))
 
 
-@query()
+STATES = [("no entries", True, False), ("old root", False, False), ("whole", False, False), ("no sidecar", True, True), ("damaged sidecar", True, True), ("other dimension", True, True), ("too few rows", False, True)]
+
+
+@query(f"SELECT state, CAST(is_empty AS BOOLEAN) AS is_empty, CAST(needs_rebuild AS BOOLEAN) AS needs_rebuild FROM (VALUES {', '.join(f"('{a}', {b}, {c})" for a, b, c in STATES)}) t(state, is_empty, needs_rebuild)")
+def index_states(spark, d):
+    """What a root and its sidecar say of the index, in each state that they can be in."""
+    entry = lambda k: {"id": f"n{k}.md", "contentHash": "h", "updatedAt": "t", "chunks": [{"row": k, "start": 0, "end": 0, "hash": "h"}]}
+    root = lambda version, dim, entries: json.dumps({"schemaVersion": version, "embeddingDim": dim, "index": entries}).encode()
+    two, good = [entry(0), entry(1)], sidecar.encode([1.0, 0.0, 0.0, 1.0], 2)
+    held = {"no entries": (root(2, 0, []), None), "old root": (root(1, 0, [{"id": "a.md", "embedding": [1.0], "contentHash": "h", "updatedAt": "t"}]), None), "whole": (root(2, 2, two), good), "no sidecar": (root(2, 2, two), None), "damaged sidecar": (root(2, 2, two), good[:-1]), "other dimension": (root(2, 3, two), good), "too few rows": (root(2, 2, [*two, entry(2)]), good)}
+    out = None
+    for state, (text, data) in held.items():
+        folder = _folder(spark)
+        sidecar._put(spark, f"{folder}/data.json", [text])
+        if data is not None:
+            sidecar._put(spark, f"{folder}/embeddings.bin", [data])
+        one = sidecar.is_empty(spark, folder).crossJoin(sidecar.needs_rebuild(spark, folder)).select(F.lit(state).alias("state"), "is_empty", "needs_rebuild")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {VECTORS} SELECT id, content_hash, len(v) AS dim FROM vecs")
 def read_legacy(spark, d):
-    return _legacy(spark, d).select("id", "content_hash", F.size("embedding").alias("dim"))
+    return _legacy(spark, d).select("id", "content_hash", F.size("embedding").cast("long").alias("dim"))
 
 
 def _legacy(spark, d, migrate_to=None):
@@ -171,19 +199,27 @@ def _legacy(spark, d, migrate_to=None):
     return sidecar.read(spark, migrate_to)
 
 
-@query()
+@query(f"WITH {STORED} SELECT id, content_hash, position FROM stored")
 def migrate_v1(spark, d):
     return _legacy(spark, d, _folder(spark)).select("id", "content_hash", "position")
 
 
-@query()
+@query(f"WITH {STORED} SELECT id, content_hash, round(sqrt(list_dot_product(v, v)), 4) AS norm FROM stored")
 def index_rewrite(spark, d):
     folder = _folder(spark)
     sidecar.write_version(N.index(spark, d), folder, 1)
     return sidecar.read_version(spark, folder, 1).select("id", "content_hash", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
-@query()
+def _numbers(i: str, seed: int) -> str:
+    """The number at place i of the seed's stream, with 64-bit products cut to 32 bits."""
+    s = f"(({seed} + 1831565813::HUGEINT * ({i} + 1)) % 4294967296)::BIGINT"
+    x = "((xor({s}, {s} >> 15)::HUGEINT * ({s} | 1)) % 4294967296)::BIGINT".replace("{s}", s)
+    y = "xor({x}, (({x} + (xor({x}, {x} >> 7)::HUGEINT * ({x} | 61)) % 4294967296) % 4294967296)::BIGINT)".replace("{x}", "x")
+    return f"list_transform(list_transform([{x}], lambda x: {y}), lambda y: xor(y, y >> 14) / 4294967296.0)[1]"
+
+
+@query(f"SELECT 'seed-' || i || '.md' AS id, lpad(lower(to_hex(CAST(floor({_numbers('i * 65 + 64', 0x5EED)} * 4294967295) AS BIGINT))), 8, '0') AS content_hash, CAST(1 AS DOUBLE) AS norm FROM range(100) t(i)")
 def synthetic_index(spark, d):
     return synthetic.seed_index(spark, 100, 64).select("id", "content_hash", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
@@ -193,7 +229,7 @@ def synthetic_notes(spark, d):
     return synthetic.synthetic_notes(spark, 50)
 
 
-@query()
+@query(f"SELECT i, {_numbers('i', 0x5EED)} AS x FROM range(1000) t(i)")
 def prng_mulberry32(spark, d):
     return synthetic.random_numbers(spark, 0x5EED, 1000)
 
@@ -243,13 +279,6 @@ def settings_parse(spark, d):
     return spark.createDataFrame(PARSE_ROWS, "k int, s string").select("k", ST.parse_integer(F.col("s")).alias("value"))
 
 
-@query()
-def settings_reindex(spark, d):
-    """New settings queue every candidate again if the index isn't empty."""
-    force = not N.index(spark, d).isEmpty()
-    return sync.sync_plan(N.candidates(spark, d), N.indexed_ids(spark, d), Q.bump(N.changes(spark, d)), N.rules(spark), force=force)
-
-
 # --- vectors -----------------------------------------------------------------------------------------
 def _pairs(spark, d):
     e = N.table(spark, d, "embeddings")
@@ -421,13 +450,17 @@ def prepare_status(spark, d):
     return PR.prepare(ids, n).select("id", "status", "reason", F.length("prepared_text").cast("long").alias("n_chars"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(f"WITH {PREPARED}, known AS (SELECT CAST(doc_id AS VARCHAR) AS title FROM labels), h AS (SELECT id, {HASH.format(x='p')} AS content_hash, split_part(split_part(id, '/', 2), '.', 1) AS title FROM prepared) SELECT id, CASE WHEN {IGNORED} THEN 'removed' WHEN title IN (SELECT title FROM known) THEN 'unchanged' ELSE 'indexed' END AS outcome, content_hash FROM h")
+@query(f"WITH {PREPARED}, known AS (SELECT CAST(doc_id AS VARCHAR) AS title FROM labels), h AS (SELECT id, {HASH.format(x='p')} AS content_hash, length(p) AS n, split_part(split_part(id, '/', 2), '.', 1) AS title FROM prepared) SELECT id, CASE WHEN {IGNORED} THEN 'removed' WHEN title IN (SELECT title FROM known) AND n % 3 <> 0 THEN 'unchanged' ELSE 'indexed' END AS outcome, content_hash FROM h")
 def index_outcome(spark, d):
     n = N.notes(spark, d)
-    ready = PR.prepare(n.select("id"), n).select("id", "status", T.content_hash("prepared_text").alias("content_hash"))
+    ready = PR.prepare(n.select("id"), n).select("id", "status", T.content_hash("prepared_text").alias("content_hash"), F.length("prepared_text").alias("n"))
     ready = saved(ready)
     known = N.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("title"))
     index = ready.join(n.join(known, "title", "left_semi").select("id"), "id", "left_semi")
+    # a third of the indexed notes have changed since; a later row of an id doesn't count
+    index = index.select("id", F.when(F.col("n") % 3 == 0, "deadbeef").otherwise(F.col("content_hash")).alias("content_hash"), F.lit(0).alias("position"))
+    index = index.unionByName(index.where("content_hash = 'deadbeef'").join(ready.select("id", F.col("content_hash").alias("h")), "id").select("id", F.col("h").alias("content_hash"), F.lit(1).alias("position")))
+    ready = ready.drop("n")
     return sync.index_outcome(ready, index, N.rules(spark))
 
 
@@ -579,16 +612,29 @@ def sync_apply(spark, d):
     return sync.apply_plan(_plan(spark, d), N.indexed_ids(spark, d), queue)[0]
 
 
-@query()
+@query(f"""WITH {PREPARED}, {CANDIDATES}, valid AS (SELECT * FROM candidates WHERE NOT {IGNORED}), {_chunks('prepared WHERE reason IS NULL', 'id', 'p', 'pieces')}, {_pool('pieces', 'pooled', 'WHERE i < 32')},
+h AS (SELECT id, {HASH.format(x='p')} AS content_hash, length(p) AS n FROM prepared WHERE reason IS NULL)
+SELECT id, content_hash, CASE WHEN n % 4 = 0 THEN 'kept' ELSE 'new' END AS updated_at, CASE WHEN n % 4 = 0 THEN 1.0 ELSE round(sqrt(list_dot_product(u, u)), 4) END AS norm
+FROM h JOIN valid USING (id) JOIN (SELECT id, list_transform(v, lambda x: CAST(CAST(least(127, greatest(-127, floor(CASE WHEN x = 0 THEN 0 ELSE x * (1.0 / sqrt(list_dot_product(v, v))) END * 127 + 0.5))) / 127 AS FLOAT) AS DOUBLE)) AS u FROM pooled) USING (id)""")
 def sync_run(spark, d):
-    """Candidates to outcomes and the index that follows, in one job: only rows that are new are embedded."""
-    n = N.notes(spark, d)
-    ready = PR.prepare(n.select("id"), n).withColumn("content_hash", T.content_hash("prepared_text"))
-    ready = saved(ready)
-    outcome = sync.index_outcome(ready, ready.where("length(prepared_text) % 2 = 0"), N.rules(spark))
-    new = outcome.where("outcome = 'indexed'").select("id").join(ready, "id")
-    vectors = PR.letter_vectors(new).select("id", F.round(V.norm(V.normalize(F.col("embedding"))), 6).alias("norm"))
-    return new.select("id", "content_hash").join(vectors, "id")
+    """A run over an index that holds some notes as they are, some as they were, and one that is gone: only what is new or changed is embedded."""
+    n, store = N.notes(spark, d), Store(spark, _folder(spark))
+    ready = saved(PR.prepare(n.select("id"), n).where("status = 'ready'").select("id", T.content_hash("prepared_text").alias("content_hash"), F.length("prepared_text").alias("n")))
+    unit = F.array(F.lit(1.0))
+    held = ready.where("n % 2 = 0").select("id", unit.alias("embedding"), F.when(F.col("n") % 4 == 0, F.col("content_hash")).otherwise("deadbeef").alias("content_hash"), F.lit("kept").alias("updated_at"), F.monotonically_increasing_id().alias("position"))
+    store.rewrite(saved(held.union(spark.createDataFrame([("gone.md", [1.0], "h", "kept", -1)], held.schema))))
+    candidates = N.candidates(spark, d)
+    lifecycle.sync(store, n, candidates, N.rules(spark), PR.letters_tried, lifecycle.Runtime(), force=True, now="new")
+    return store.read().select("id", "content_hash", "updated_at", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query(f"""WITH {VALID}, {ACTIONS}, {QUEUE}, forced AS (SELECT id, CAST(row_number() OVER (ORDER BY recent_open_rank NULLS LAST, modified_at DESC, id) - 1 AS INT) AS seq FROM valid)
+SELECT 'remove_from_index' AS action, id, NULL AS seq FROM (SELECT id FROM indexed WHERE id NOT IN (SELECT id FROM valid) UNION SELECT id FROM twice)
+UNION ALL SELECT 'remove_from_queue', id, NULL FROM queue WHERE id NOT IN (SELECT id FROM valid) UNION ALL SELECT 'seed', id, seq FROM forced""")
+def settings_reindex(spark, d):
+    """New settings queue every candidate again if the index isn't empty."""
+    force = not N.index(spark, d).isEmpty()
+    return sync.sync_plan(N.candidates(spark, d), N.indexed_ids(spark, d), Q.bump(N.changes(spark, d)), N.rules(spark), force=force)
 
 
 # --- queue ---------------------------------------------------------------------------------------------
@@ -680,7 +726,10 @@ def debounce_sessions(spark, d):
     return C.debounce(e, "user_id", "ts", "30 minutes").select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS ms, event_id FROM events),
+w AS (SELECT user_id, min(ms) AS start FROM e GROUP BY user_id UNION ALL
+  SELECT user_id, start FROM (SELECT w.user_id, (SELECT min(ms) FROM e WHERE e.user_id = w.user_id AND ms >= w.start + 3600000) AS start FROM w) WHERE start IS NOT NULL)
+SELECT w.user_id, start + 3600000 AS flush_ms, arg_max(event_id, ms::HUGEINT * 1000000000000 + event_id) AS seq FROM w JOIN e ON e.user_id = w.user_id AND ms >= start AND ms < start + 3600000 GROUP BY ALL""")
 def throttle_flush(spark, d):
     e = N.table(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
     return C.throttle(e, "user_id", "ms", "event_id", 3_600_000)
@@ -689,9 +738,18 @@ def throttle_flush(spark, d):
 FEED = "feed AS (SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'rename' WHEN 'click' THEN 'open' ELSE 'edit' END AS op, CAST(user_id AS VARCHAR) AS id, CASE WHEN event_type = 'signup' THEN CAST(user_id + 1 AS VARCHAR) END AS old_id FROM events)"
 
 
-@query(f"""WITH {FEED}, ids AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer), p AS (SELECT seq, op, id, old_id FROM feed UNION ALL SELECT seq, 'away', old_id, NULL FROM feed WHERE op = 'rename'),
-l AS (SELECT id, max(seq) AS seq FROM p GROUP BY id), e AS (SELECT p.* FROM p JOIN l ON p.id = l.id AND p.seq = l.seq)
-SELECT id, id AS source_id, CAST(NULL AS BIGINT) AS seq FROM ids WHERE id NOT IN (SELECT id FROM l) UNION ALL SELECT id, CASE WHEN op = 'rename' THEN old_id ELSE id END, seq FROM e WHERE op IN ('edit', 'open', 'rename')""")
+# the feed is folded event by event
+@query(f"""WITH RECURSIVE {FEED}, ids AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer),
+turns AS (SELECT *, row_number() OVER (ORDER BY seq) AS turn FROM feed),
+touched AS (SELECT id FROM feed UNION SELECT old_id FROM feed WHERE op = 'rename'),
+state AS (SELECT CAST(0 AS BIGINT) AS turn, map_from_entries(list({{'k': id, 'v': {{'alive': id IN (SELECT id FROM ids), 'src': id, 'seq': CAST(NULL AS BIGINT)}}}})) AS m FROM touched
+  UNION ALL SELECT t.turn, CASE WHEN op = 'delete' THEN map_concat(m, MAP {{t.id: {{'alive': false, 'src': t.id, 'seq': t.seq}}}})
+    WHEN op <> 'rename' THEN map_concat(m, MAP {{t.id: {{'alive': true, 'src': t.id, 'seq': t.seq}}}})
+    WHEN t.id <> t.old_id AND m[t.old_id].alive THEN map_concat(m, MAP {{t.id: {{'alive': true, 'src': m[t.old_id].src, 'seq': t.seq}}, t.old_id: {{'alive': false, 'src': t.old_id, 'seq': t.seq}}}})
+    ELSE m END FROM state JOIN turns t ON t.turn = state.turn + 1),
+done AS (SELECT unnest(map_entries(m)) AS e FROM state WHERE turn = (SELECT max(turn) FROM state))
+SELECT e.key AS id, e.value.src AS source_id, e.value.seq AS seq FROM done WHERE e.value.alive
+UNION ALL SELECT id, id, NULL FROM ids WHERE id NOT IN (SELECT id FROM touched)""")
 def apply_changes(spark, d):
     kind = F.col("event_type")
     op = F.when(kind == "error", "delete").when(kind == "signup", "rename").when(kind == "click", "open").otherwise("edit")

@@ -6,6 +6,7 @@ import json
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +53,6 @@ def layout_valid(size, dim, count):
 
 def vectors(files: DataFrame) -> DataFrame:
     """(path, row, embedding) of sidecar files read as binaryFile; files that can't be decoded give no rows."""
-    import pandas as pd
-
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
@@ -91,10 +90,18 @@ def write(index: DataFrame, folder: str) -> None:
         raise ValueError("vectors of different lengths")
     dim = sizes["low"] or 0
 
+    def quantized(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"part": [b["row"].iloc[0]], "data": [encode(np.stack(b["embedding"].to_numpy()), dim)[SIZE:]]})
+
+    # rows are in order within a partition, and partitions are ranges of them
+    codes = packed.repartitionByRange("row").sortWithinPartitions("row").select("row", "embedding").mapInPandas(quantized, "part int, data binary")
+
     def vectors_of():
         yield struct.pack(LAYOUT, MAGIC, VERSION, INT8, 0, dim, sizes["n"])
-        for r in packed.select("embedding").orderBy("row").toLocalIterator():
-            yield encode(np.array(r["embedding"]), dim)[SIZE:]
+        for r in codes.orderBy("part").select("data").toLocalIterator():  # a row for each few thousand vectors
+            yield bytes(r["data"])
 
     def root():
         yield json.dumps({"schemaVersion": 2, "embeddingDim": dim})[:-1].encode() + b', "index": ['
@@ -120,6 +127,14 @@ def needs_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(((F.col("schemaVersion") >= 2) & (F.col("entries") > 0) & bad).alias("needs_rebuild"))
 
 
+def is_empty(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (is_empty): true without entries, and with entries of a new root whose sidecar is missing, damaged or of another dimension; false for an old root with entries."""
+    root = spark.read.schema(ROOT).json(f"{folder}/data.json", multiLine=True).select("schemaVersion", "embeddingDim", F.coalesce(F.size("index"), F.lit(0)).alias("entries"))
+    state = header(_files(spark, folder)).where("valid").select("dim")
+    usable = (F.coalesce("schemaVersion", F.lit(1)) < 2) | F.coalesce(F.col("dim") == F.col("embeddingDim"), F.lit(False))
+    return root.join(state, F.lit(True), "left").select(((F.col("entries") <= 0) | ~usable).alias("is_empty"))
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(id, embedding, content_hash, updated_at, position): the index, empty if the root is old or the sidecar doesn't fit it."""
     root = spark.read.schema(ROOT).json(f"{folder}/data.json", multiLine=True)
@@ -146,7 +161,7 @@ def migrate(spark: SparkSession, path: str, folder: str) -> bool:
 
 
 def write_version(index: DataFrame, folder: str, version: int) -> None:
-    """The index as one version in Parquet, with int8 vectors, dealt by id; readers take the highest version that is complete (_SUCCESS)."""
+    """The index as one version in Parquet, with int8 vectors; it is complete once _SUCCESS is there. store.Store names the version that readers take."""
     codes = index.withColumn("embedding", V.quantize(F.col("embedding")))
     codes.write.mode("overwrite").parquet(f"{folder}/version={version}")
 
