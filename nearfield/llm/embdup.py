@@ -16,26 +16,26 @@ SAMPLE, ITERATIONS, TABLES, BITS, MOST_BITS = 8_192, 30, 32, 10, 24
 COSINE, BLOCK = 0.95, 512
 
 
-def rotation(x: np.ndarray, bits: int, seed: int, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, dim x bits projection): principal directions, rotated until codes lose least.
+def rotation(x: np.ndarray, bits: int, seed: int, iterations: int = ITERATIONS) -> np.ndarray:
+    """dim x bits projection: principal directions, rotated until codes lose least.
 
     In turn the codes are the signs of the rotated projections, and the rotation is the orthogonal one
     that takes the projections nearest the codes (Procrustes). Another seed starts from another rotation and so
-    ends with other codes. If the sample has fewer directions than bits, random ones fill up.
+    ends with other codes. If the sample has fewer directions than bits, random ones fill up. Vectors aren't centred: planes go
+    through the origin, where cosines are measured. Around the mean of vectors that all lie one way, near ones would be torn apart.
     """
     draw = np.random.default_rng(seed)
-    mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-    _, _, v = np.linalg.svd(x - mean, full_matrices=False) if len(x) else (None, None, np.zeros((0, x.shape[1])))
+    v = np.linalg.svd(x, full_matrices=False)[2] if len(x) else np.zeros((0, x.shape[1]))
     p = v[:bits].T
     if p.shape[1] < bits:
         p = np.concatenate([p, draw.normal(size=(x.shape[1], bits - p.shape[1])) / np.sqrt(x.shape[1])], 1)
     r, _ = np.linalg.qr(draw.normal(size=(bits, bits)))
-    projected = (x - mean) @ p
+    projected = x @ p
     for _ in range(iterations if len(x) else 0):
         codes = np.where(projected @ r >= 0, 1.0, -1.0)
         u, _, w = np.linalg.svd(codes.T @ projected)
         r = (u @ w).T
-    return mean, p @ r
+    return p @ r
 
 
 class Codes:
@@ -48,12 +48,11 @@ class Codes:
         for k in range(0, tables, each):
             columns = bits * min(each, tables - k)
             # all directions are rotated, so that a pair that differs most in some of them isn't missed by every table
-            mean, p = rotation(sample, max(dim, columns), seed=k)
-            self.parts.append((mean, p[:, :columns]))
+            self.parts.append(rotation(sample, max(dim, columns), seed=k)[:, :columns])
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """A key for each row and table."""
-        bit = np.concatenate([(x - mean) @ p >= 0 for mean, p in self.parts], 1)
+        bit = np.concatenate([x @ p >= 0 for p in self.parts], 1)
         return bit.reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 

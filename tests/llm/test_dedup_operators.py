@@ -108,6 +108,42 @@ def test_near_duplicates(spark, monkeypatch, k, percent, block):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute_components(rows, k, percent)
 
 
+def test_near_duplicates_query_against_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    df = neardup.query(spark, DATA)
+    assert df.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == brute_components(rows, 3, 85)
+
+
+def test_large_buckets_that_a_representative_leaves_apart(spark, monkeypatch):
+    """Texts of one template share buckets without being alike; in them are pairs that are."""
+    monkeypatch.setattr(neardup, "BUCKET", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    r, words = random.Random(21), vocabulary(4000)
+    frame, rows = [r.choice(words) for _ in range(90)], []
+    for k in range(40):
+        t = list(frame)
+        for at in range(0, 90, 7):
+            t[at] = r.choice(words)
+        rows.append((3 * k, " ".join(t)))
+        if k % 4 == 0:
+            t[40] = r.choice(words)
+            rows.append((3 * k + 1, " ".join(t)))
+    seen = []
+    monkeypatch.setattr(neardup, "_apart", lambda *a, f=neardup._apart: seen.append(f(*a)) or seen[-1])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), "doc_id", "text", 3, 60)
+    assert {x[0]: tuple(x)[1:] for x in got.collect()} == brute_components(rows, 3, 60)
+    assert seen and seen[0] is not None
+
+
+def test_keep_one_keeps_different_texts_of_a_key(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, near, "p"), (1, "something else that is not alike at all", "p"), (2, near + " end", "q"), (None, near, "r"), (None, "only here and nowhere else in this table", "r"), (3, "", "s"), (4, None, "s"), (2, near + " end", "q")]
+    df = spark.createDataFrame(rows, DOCS + ", source string")
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:9]) for r in neardup.keep_one(df, "doc_id", "text").collect())
+    assert len(kept) == 5 and sum(t.startswith("a b c") for _, _, t in kept) == 1 and sum(t.startswith(("something", "only here")) for _, _, t in kept) == 2
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d"), (None, None), (7, "a b c d"), (7, "a b c d"), (5, "e f g h"), (7, "e f g h")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCS + ", component_id long, n_shingles long")
@@ -171,11 +207,12 @@ def brute_links(rows):
         label = new
 
 
-@pytest.mark.parametrize("bits", [None, 20, 24])
-def test_links_against_brute_force(spark, bits):
-    """With the tables of production: near pairs from 0.95 up, groups, and vectors that are alone."""
+@pytest.mark.parametrize(("bits", "apart"), [(None, 0), (20, 0), (24, 0), (None, 3)])
+def test_links_against_brute_force(spark, bits, apart):
+    """With the tables of production: near pairs from 0.95 up, groups, and vectors that are alone; also where all vectors lie one way."""
     r = np.random.default_rng(7)
     base = r.normal(size=(500, 64))
+    base[:, 0] += 8 * np.sqrt(apart)
     near = base[r.integers(0, 300, 900)]
     noise = r.normal(size=near.shape)
     noise -= (noise * near).sum(1, keepdims=True) / (near * near).sum(1, keepdims=True) * near
@@ -209,9 +246,9 @@ def test_tables_grow_with_bits():
 def test_codes_are_balanced_and_near():
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 16)) @ r.normal(size=(16, 16))
-    mean, p = embdup.rotation(x, 16, 0)
-    z = (x - mean) @ p
-    start = (x - mean) @ embdup.rotation(x, 16, 0, iterations=0)[1]
+    p = embdup.rotation(x, 16, 0)
+    z = x @ p
+    start = x @ embdup.rotation(x, 16, 0, iterations=0)
     loss = lambda z: ((np.where(z >= 0, 1, -1) - z) ** 2).sum()
     assert loss(z) < loss(start) and np.allclose(p.T @ p, np.eye(16))
 
@@ -246,6 +283,27 @@ def test_remove_repeats(spark, monkeypatch, hot, run):
     assert got == brute_removed(texts, 90)
 
 
+def test_substrings_query_against_brute_force(spark):
+    """All documents at 400 bytes and production parameters: bytes under strings that start elsewhere too."""
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    seen: dict = {}
+    for k, (_, b) in enumerate(rows):
+        for p in range(len(b) - 399):
+            seen.setdefault(hash(b[p : p + 400]), []).append((k, p))
+    gone = [np.zeros(len(b) + 1, bool) for _, b in rows]
+    for held in seen.values():
+        if len(held) > 1:
+            for k, p in held:
+                gone[k][p : p + 400] = True
+    want = {}
+    for (doc, b), g in zip(rows, gone, strict=True):
+        spans = int((g[:-1] & ~np.append(False, g[:-2])).sum()) if b else 0
+        want[doc] = (len(b), int(g.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~g[:-1]].tobytes()).hexdigest())
+    df = substrings.query(spark, DATA)
+    assert df.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == want and sum(w[1] > 0 for w in want.values()) > 10
+
+
 def test_remove_repeats_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "y" * 500, 1), (None, None, 2), (3, "", 3), (3, "q" * 399, 4)], DOCS + ", n_bytes long")
     got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.remove_repeats(df, "doc_id", "text").collect())
@@ -442,6 +500,30 @@ def test_quality(spark):
     assert {x[0] for x in held} <= marked
 
 
+def test_quality_query(spark):
+    """Held-out accuracy at production parameters; the labels of held-out rows, and what isn't text, change no score."""
+    data = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in quality.query(spark, data).collect()}
+    assert list(next(iter(got.values())).asDict()) == ["doc_id", "held_out", "score", "predicted"]
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    held = [(got[r["doc_id"]], r["quality"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert len(held) > 40 and sum(r["predicted"] == q for r, q in held) >= 0.95 * len(held)
+    good, bad = ([r["score"] for r, q in held if q == v] for v in (1, 0))
+    assert sum(g > b for g in good for b in bad) >= 0.98 * len(good) * len(bad)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    learned = labels.where(~quality.held_out(labels["doc_id"]))
+    assert quality.train(docs, learned, "doc_id", "text", "quality").cut == quality.train(docs, labels, "doc_id", "text", "quality").cut
+    twice = docs.union(docs.limit(300))
+    assert np.allclose(quality.train(twice, labels.union(labels), "doc_id", "text", "quality").weights, quality.train(docs, labels, "doc_id", "text", "quality").weights)
+
+
+def test_quality_keeps_other_columns(spark):
+    model = quality.fit(np.zeros((0, len(quality.NAMES))), np.zeros(0, int))
+    df = spark.createDataFrame([(1, None, 5.0, "x"), (1, "", 5.0, "x")], DOCS + ", score double, __id string")
+    assert quality.score(df, model, "text").columns == ["doc_id", "text", "__id", "score"] and quality.score(df, model, "text").count() == 2
+
+
 def test_quality_without_both_labels():
     assert quality.fit(np.zeros((0, len(quality.NAMES))), np.zeros(0, int)).score(np.zeros((1, len(quality.NAMES))))[0] == pytest.approx(0.3)
     only = quality.fit(np.ones((3, len(quality.NAMES))), np.ones(3, int))

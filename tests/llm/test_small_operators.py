@@ -267,6 +267,27 @@ def test_media_query(spark):
     assert media.digest(empty(spark), "doc_id", "text").count() == 0
 
 
+def test_media_query_against_the_texts(spark):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+    df = media.query(spark, DATA)
+    assert df.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    got = {r["doc_id"]: r for r in df.collect()}
+    for doc, text in docs:
+        payload, r = media.padded((text or "").encode()), got[doc]
+        stored = media.mux(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and r["feature"]
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    """Columns that are named as results, and rows that repeat, in the operators that take any table."""
+    df = spark.createDataFrame([(1, "a b", "s", 7, 8)] * 2 + [(None, None, None, 7, 8)], DOCS + ", n_bytes long, length long")
+    assert [r["n_bytes"] for r in media.digest(df, "doc_id", "text").orderBy("n_bytes").collect()] == [0, 3, 3]
+    assert sorted(r["length"] for r in packing.pack(df, "doc_id", "text").collect()) == [1, 3, 3]
+    out = pii.replace(df.withColumn("m", F.lit(1)).withColumn("kind", F.lit(2)), "text", KEY)
+    assert out.columns == ["doc_id", "text", "source", "n_bytes", "length", "m", "kind"] and out.count() == 3
+
+
 # --- personal data -------------------------------------------------------------------------------------
 KEY = "a key of the tests"
 
