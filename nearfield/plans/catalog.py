@@ -85,6 +85,7 @@ tabled AS (SELECT id, title, CASE WHEN len(l) >= 2 AND contains(l[2], '-') AND i
 TABLED = TABLED.replace("list_reduce(l, lambda a, b: a || chr(10) || b, '') AS j0, ", "")
 RAW = NOTES + ", raw_notes AS (SELECT id, title, substring(markdown, 1, 20000) AS markdown, length(markdown) > 20000 AS cut FROM notes)"
 EXTRACTED = f"{RAW}, {TABLED}, extracted AS (SELECT id, title, {_trim(_pattern(T.MARKDOWN, 't'))} AS body FROM tabled)"
+WHOLE = f"{NOTES}, raw_notes AS (SELECT id, title, markdown FROM notes), {TABLED}"
 PREPARED = f"""{EXTRACTED}, bodies AS (SELECT id, title, {_squash('body')} AS body FROM extracted),
 weighted AS (SELECT id, body, trim(repeat(title || ' ', 3) || body, ' ') AS w FROM bodies),
 prepared AS (SELECT id, body, w, substring(w, 1, 4800) AS p, CASE WHEN body = '' THEN 'empty-content' WHEN NOT regexp_matches(body, '[\\p{{L}}\\p{{N}}]') THEN 'non-semantic-content' END AS reason FROM weighted)"""
@@ -414,14 +415,14 @@ def content_hash(spark, d):
     return N.texts(spark, d).select("doc_id", T.content_hash("text").alias("content_hash"))
 
 
-@query(f"WITH {RAW}, {TABLED} SELECT id, t AS text FROM tabled")
+@query(f"WITH {WHOLE} SELECT id, t AS text FROM tabled")
 def markdown_table_to_text(spark, d):
-    return N.notes(spark, d).select("id", T.table_to_text(F.substring("markdown", 1, 20000)).alias("text"))
+    return N.notes(spark, d).select("id", T.table_to_text(F.col("markdown")).alias("text"))
 
 
-@query(f"WITH {EXTRACTED} SELECT id, body AS text FROM extracted")
+@query(f"WITH {WHOLE} SELECT id, {_trim(_pattern(T.MARKDOWN, 't'))} AS text FROM tabled")
 def markdown_extract(spark, d):
-    return N.notes(spark, d).select("id", T.markdown_to_text(F.substring("markdown", 1, 20000)).alias("text"))
+    return N.notes(spark, d).select("id", T.markdown_to_text(F.col("markdown")).alias("text"))
 
 
 @query(f"SELECT page_id, {_squash(_pattern(T.HTML, 'html'))} AS text FROM pages")

@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words of the filler text.
-LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
-    "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit "
-    "voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint"
+#: Words of the filler text.
+FILLER = (
+    "river stone lantern harbour meadow copper window ladder garden market winter signal paper engine valley bridge candle forest island mirror "
+    "narrow quiet heavy bright hollow early distant simple careful open turns keeps holds finds leaves brings carries follows answers measures "
+    "under over beside without during before after between and of with to from into the a every some"
 ).split()
 
 
@@ -59,7 +59,7 @@ def body(chars: int, seed: int) -> str:
     x = iter(numbers(seed, 0, 16 * (chars // 20 + 40)))
     parts, length = [], 0
     while length < chars:
-        words = [LOREM[int(next(x) * len(LOREM))] for _ in range(8 + int(next(x) * 12))]
+        words = [FILLER[int(next(x) * len(FILLER))] for _ in range(8 + int(next(x) * 12))]
         parts.append(" ".join(words) + ". " + ("\n\n" if next(x) < 0.15 else ""))
         length += len(parts[-1])
     return "".join(parts)[:chars]

@@ -35,7 +35,7 @@ def text_of(i, chars=1200):
 
     while len("".join(parts)) < chars:
         n = 8 + int(draw() * 12)
-        parts.append(" ".join(synthetic.LOREM[int(draw() * len(synthetic.LOREM))] for _ in range(n)) + ". " + ("\n\n" if draw() < 0.15 else ""))
+        parts.append(" ".join(synthetic.FILLER[int(draw() * len(synthetic.FILLER))] for _ in range(n)) + ". " + ("\n\n" if draw() < 0.15 else ""))
     return "".join(parts)[:chars]
 
 
