@@ -148,10 +148,12 @@ def string_buffers(array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch, column: int, most_bytes: int = 8 << 20, most_rows: int = 512):
-    """The Arrow batch in parts of most_rows rows at most, whose strings or bytes in a column come to about most_bytes; a longer one is a part of its own."""
+    """The Arrow batch in parts of most_rows rows at most, whose strings or bytes in a column, or sizes if it holds numbers, come to about most_bytes; a longer one is a part of its own."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = batch.column(column)
+    sizes = pc.fill_null(held if pa.types.is_integer(held.type) else pc.binary_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     low = 0
     while low < batch.num_rows:

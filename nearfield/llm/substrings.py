@@ -14,7 +14,7 @@ from .common import grown, saved, shrunk, slices, string_buffers, texts
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text looked at in one go, of suffixes sorted into one run, and of runs merged by one task on average.
-CHUNK, RUN, MERGE = 1 << 21, 32 << 20, 24 << 20
+CHUNK, RUN, MERGE = 1 << 19, 32 << 20, 24 << 20
 #: Suffixes whose anchor occurs more often than this are judged window by window, by counts, and not gathered.
 HOT = 20_000
 
@@ -230,7 +230,7 @@ def suffixes(raw: bytes, chosen: np.ndarray, length: int = LENGTH, gram: int = G
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(digest, first, end): bytes of distinct texts(digest, z) under windows that start elsewhere too. Parts overlap."""
+    """(digest, first, end): bytes of distinct texts(digest, z, n_bytes) under windows that start elsewhere too. Parts overlap."""
     import pyarrow as pa
 
     def unpack(batch, i):
@@ -238,12 +238,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     def find(batches):
         for whole in batches:
-            for batch in slices(whole, 1, 2 << 20):
+            for batch in slices(whole, 2, 4 << 20):
                 text, h, anchor = places(unpack(batch, 1), length, gram)
                 if len(text):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(anchor)], ["digest", "h", "anchor"])
 
-    found = saved(texts.select("digest", "z").mapInArrow(find, "digest binary, h long, anchor long"))
+    found = saved(texts.select("digest", "z", "n_bytes").mapInArrow(find, "digest binary, h long, anchor long"))
     # counted in advance: a join whose both sides are exchanges can split an anchor that many texts have
     often = saved(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     wanted = found.join(often, "h").groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("c") <= HOT, F.col("anchor")))).alias("some"), F.sort_array(F.collect_list(F.when(F.col("c") > HOT, F.col("anchor")))).alias("hot"))

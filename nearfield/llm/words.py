@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 21
+PIECE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _FOLD[65:91] += np.uint64(32)
