@@ -168,3 +168,15 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
 def query(spark, sf_dir):
     """op7: all vectors by cosine at 0.95: vec_id, n_links, component_id, kept."""
     return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+#: query() by comparing all pairs of vectors.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= {COSINE}),
+r AS (SELECT vec_id AS id, vec_id AS reached FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = id
+"""

@@ -274,9 +274,12 @@ def keep_one(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80)
     several = saved(several.select("__k", "__first"))
     # numbers far above real keys for texts that have none of their own
     own = F.lit(1 << 62) + F.shiftright(F.xxhash64(F.col(key), "__h"), 2).bitwiseAND((1 << 61) - 1)
-    mine = F.col(key).isNotNull() & (F.col("__first").isNull() | (F.col("__first") == F.col("__h")))
-    rows = rows.join(several, rows[key] == several["__k"], "left").withColumn("__key", F.when(mine, F.col(key).cast("long")).otherwise(own)).drop("__h", "__k", "__first")
-    rows = saved(rows)
+    mine = F.col(key).isNotNull()
+    n = several.count()
+    if n:  # of a key's texts the one of the least hash has the key, which others can't
+        rows = rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, rows[key] == several["__k"], "left")
+        mine = mine & (F.col("__first").isNull() | (F.col("__first") == F.col("__h")))
+    rows = rows.withColumn("__key", F.when(mine, F.col(key).cast("long")).otherwise(own)).select(*df.columns, "__key")
     found = saved(near_duplicates(rows, "__key", text, k, percent).where("kept").groupBy("__key").agg(F.count("*").alias("__copies"), F.max("n_shingles").alias("__n")))
     out = rows.join(found, "__key", "left_semi")
     again = found.where("__copies > 1 and __n > 0").select("__key")
@@ -284,3 +287,19 @@ def keep_one(df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80)
         again = saved(again)
         out = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
     return out.select(*df.columns)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: query() by comparing all pairs of documents that share a shingle.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON doc_id = id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.SQL, "op4_mixing": mixing.SQL}
+    return {"op1_sharding": sharding.SQL, "op4_mixing": mixing.SQL, "op6_neardup": neardup.SQL, "op7_embdup": embdup.SQL}

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nearfield.llm import media, mixing, packing, pii, sharding
+from nearfield.llm import embdup, media, mixing, neardup, packing, pii, sharding
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string"
@@ -220,10 +220,11 @@ def test_mix(spark):
     assert mixing.mix(empty(spark), "doc_id", "text", "source").count() == 0
 
 
-@pytest.mark.parametrize(("query", "sql"), [(sharding.query, sharding.SQL), (mixing.query, mixing.SQL)])
+@pytest.mark.parametrize(("query", "sql"), [(sharding.query, sharding.SQL), (mixing.query, mixing.SQL), (neardup.query, neardup.SQL), (embdup.query, embdup.SQL)])
 def test_sql(spark, query, sql):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     got = query(spark, DATA)
     names = sorted(got.columns)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(c.sql(sql).project(", ".join(names)).fetchall())
