@@ -17,7 +17,7 @@ from ..operators import queue as Q
 from ..operators import search as S
 from ..operators import settings as ST
 from ..operators import stats, sync
-from ..operators.ranking import saved, shared_folder
+from ..operators.ranking import global_rank, saved, shared_folder
 from ..sources import notes as N
 from ..sources import sidecar, synthetic
 from ..sources.store import Store
@@ -506,10 +506,8 @@ def wikilink_target(spark, d):
 
 @query(f"WITH {PATHS}, s AS (SELECT id, (row_number() OVER (ORDER BY id) % 2001 - 1000) / 1000.0::DOUBLE AS score FROM paths), x AS (SELECT *, score * 100 AS p FROM s) SELECT id, string_split(regexp_replace(id, '(?i)\\.md$', ''), '/')[-1] AS title, regexp_replace(id, '/?[^/]*$', '') AS parent, CAST(floor(p + 0.5) AS BIGINT) || '%' AS percent, regexp_replace(id, '\\.md$', '') AS modal_title, CAST(sign(p) * floor(abs(p) + 0.5) AS BIGINT) || '%' AS modal_percent FROM x")
 def render_related(spark, d):
-    from pyspark.sql import Window
-
-    p = N.paths(spark, d).withColumn("score", (F.row_number().over(Window.orderBy("id")) % 2001 - 1000) / F.lit(1000.0))
-    return P.render(p)
+    p = global_rank(N.paths(spark, d), [F.col("id")], "place")
+    return P.render(p.withColumn("score", ((F.col("place") + 1) % 2001 - 1000) / F.lit(1000.0)))
 
 
 # --- index ---------------------------------------------------------------------------------------------
@@ -727,7 +725,7 @@ def debounce_sessions(spark, d):
     return C.debounce(e, "user_id", "ts", "30 minutes").select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("last_ts").alias("last_us"), "n")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS ms, event_id FROM events),
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id FROM events),
 w AS (SELECT user_id, min(ms) AS start FROM e GROUP BY user_id UNION ALL
   SELECT user_id, start FROM (SELECT w.user_id, (SELECT min(ms) FROM e WHERE e.user_id = w.user_id AND ms >= w.start + 3600000) AS start FROM w) WHERE start IS NOT NULL)
 SELECT w.user_id, start + 3600000 AS flush_ms, arg_max(event_id, ms::HUGEINT * 1000000000000 + event_id) AS seq FROM w JOIN e ON e.user_id = w.user_id AND ms >= start AND ms < start + 3600000 GROUP BY ALL""")
