@@ -359,10 +359,15 @@ def codec_dequantize(spark, d):
     return e.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("x").cast("double"), 6) + 0.0).alias("value"))
 
 
-@query("SELECT vec_id, true AS stable FROM embeddings")
+@query(f"""WITH o AS (SELECT vec_id, list_transform(embedding, lambda x: {CODE}) AS once FROM embeddings),
+t AS (SELECT vec_id, once, list_transform(list_transform(once, lambda c: CAST(c / 127 AS FLOAT)), lambda x: {CODE}) AS twice FROM o)
+SELECT vec_id, array_to_string(list_transform(once, lambda c: CAST(c AS INT)), ' ') AS once, array_to_string(list_transform(twice, lambda c: CAST(c AS INT)), ' ') AS twice, once = twice AS stable FROM t""")
 def codec_roundtrip(spark, d):
+    """Codes, and the codes of what they decode to."""
     once = V.quantize(F.col("embedding"))
-    return N.table(spark, d, "embeddings").select("vec_id", (V.quantize(V.dequantize(once)) == once).alias("stable"))
+    twice = V.quantize(V.dequantize(once))
+    said = lambda codes: F.array_join(codes.cast("array<string>"), " ")
+    return N.table(spark, d, "embeddings").select("vec_id", said(once).alias("once"), said(twice).alias("twice"), (once == twice).alias("stable"))
 
 
 @query("SELECT vec_id, (16 + 64 * vec_id) AS size, (16 + 64 * vec_id - 16 = len(embedding) * (vec_id - vec_id % 2)) AS valid FROM embeddings")
