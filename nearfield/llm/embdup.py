@@ -51,9 +51,13 @@ class Codes:
             self.parts.append(rotation(sample, max(dim, columns), seed=k)[:, :columns])
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """A key for each row and table."""
-        bit = np.concatenate([x @ p >= 0 for p in self.parts], 1)
-        return bit.reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return keys_of(x, self.parts, self.tables, self.bits)
+
+
+def keys_of(x: np.ndarray, parts: list[np.ndarray], tables: int, bits: int) -> np.ndarray:
+    """A key for each row and table."""
+    bit = np.concatenate([x @ p >= 0 for p in parts], 1)
+    return bit.reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def tables_for(bits: int, tables: int, least: float) -> int:
@@ -105,12 +109,13 @@ def near_vectors(df: DataFrame, key: str, vector: str, least: float = COSINE, sa
     width = bits or min(MOST_BITS, max(BITS, int(np.log2(n)) - 5), dim)
     tables = tables_for(width, tables, least)
     drawn = sorted((r["rep"], r["v"]) for r in reps.orderBy(F.xxhash64("rep")).limit(sample).collect())
-    sent = df.sparkSession.sparkContext.broadcast(Codes(_unit([r[1] for r in drawn], dim), dim, tables, width))
+    codes = Codes(_unit([r[1] for r in drawn], dim), dim, tables, width)
+    sent = df.sparkSession.sparkContext.broadcast(codes.parts)  # arrays alone, as broadcasts name classes and don't carry them
 
     def code(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"rep": b["rep"], "keys": list(sent.value.keys(_unit(b["v"], dim)).astype(np.int32))})
+                yield pd.DataFrame({"rep": b["rep"], "keys": list(keys_of(_unit(b["v"], dim), sent.value, tables, width).astype(np.int32))})
 
     coded = saved(reps.mapInPandas(code, "rep long, keys array<int>"))
     entries = coded.select("rep", F.posexplode("keys").alias("table", "bucket"))

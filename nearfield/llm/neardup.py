@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +27,6 @@ def bands_for(percent: int, hashes: int = HASHES, miss: float = 1e-5) -> tuple[i
     return hashes // rows, rows
 
 
-@lru_cache(maxsize=64)
 def least_matches(percent: int, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> tuple[int, ...]:
     """For each number of hashes looked at so far (batch, 2 batch, ...) the fewest matches that keep a pair.
 
