@@ -28,14 +28,15 @@ class Settings:
     title_weight: int = 3
 
 
-def prepare(ids: DataFrame, notes: DataFrame, settings: Settings = Settings(), extract: Callable[[Column], Column] = T.markdown_to_text) -> DataFrame:
+def prepare(ids: DataFrame, notes: DataFrame, settings: Settings = Settings(), extract: Callable[[Column], Column] = T.markdown_to_text, rejected_text: bool = False) -> DataFrame:
     """(id, status, reason, prepared_text, chunks, warnings) for each of ids(id), from notes(id, title, markdown).
 
-    An id without a note is rejected as missing-note, one without text as empty-content, one without a letter
+    An id without a note is rejected as missing-note, one without text, or with a null one, as empty-content, one without a letter
     or digit as non-semantic-content. The limits depend on columns known before any vector is made, so
-    a vector is computed only for rows that are ready.
+    a vector is computed only for rows that are ready. With ``rejected_text``, rejected notes too have the text
+    that was judged, title included; it is null only without a note or with a null one.
     """
-    df = ids.select("id").join(notes.select("id", "title", "markdown"), "id", "left")
+    df = ids.select("id").join(notes.select("id", "title", "markdown", F.lit(True).alias("__found")), "id", "left")
     title = T.normalize_whitespace(F.coalesce("title", F.lit("")))
     weigh = lambda body: T.let(T.title_weight(body, title, settings.title_weight), lambda w: cut(body, w))
 
@@ -46,7 +47,7 @@ def prepare(ids: DataFrame, notes: DataFrame, settings: Settings = Settings(), e
     df = T.computed(df, "__p", T.let(body, weigh))
     df = df.select("*", *[F.col(f"__p.{c}").alias(f"__{c}") for c in ("body", "cut", "text", "chunks")])
     reason = (
-        F.when(F.col("markdown").isNull(), "missing-note")
+        F.when(F.col("__found").isNull(), "missing-note")
         .when(F.col("__body") == "", "empty-content")
         .when(~T.has_semantic_content(F.col("__body")), "non-semantic-content")
         .when(F.size("__chunks") == 0, "empty-content")
@@ -64,7 +65,7 @@ def prepare(ids: DataFrame, notes: DataFrame, settings: Settings = Settings(), e
         "id",
         F.when(ready, "ready").otherwise("reject").alias("status"),
         "reason",
-        F.when(ready, F.col("__text")).alias("prepared_text"),
+        F.when(F.col("markdown").isNotNull() if rejected_text else ready, F.col("__text")).alias("prepared_text"),
         F.when(ready, F.slice("__chunks", 1, settings.max_chunks)).alias("chunks"),
         warnings.alias("warnings"),
     )

@@ -59,6 +59,14 @@ def test_prepare(spark):
     assert got["d"]["warnings"] == ["raw-markdown-truncated", "prepared-text-truncated", "chunk-limit-reached"] and len(got["d"]["chunks"]) == 32
 
 
+def test_a_null_text_is_no_missing_note(spark):
+    notes = spark.createDataFrame([("a", "T", None), ("b", "T", "!!")], "id string, title string, markdown string")
+    got = {r["id"]: r for r in PR.prepare(ids(spark, "a", "b", "z"), notes, rejected_text=True).collect()}
+    assert [got[i]["reason"] for i in "abz"] == ["empty-content", "non-semantic-content", "missing-note"]
+    assert [got[i]["prepared_text"] for i in "abz"] == [None, "T T T !!", None] and all(r["chunks"] is None for r in got.values())
+    assert all(r["prepared_text"] is None for r in PR.prepare(ids(spark, "a", "b", "z"), notes).collect())
+
+
 def test_embedder_and_pool(spark):
     calls = []
 
