@@ -530,6 +530,42 @@ def test_quality_without_both_labels():
     assert (only.score(np.ones((2, len(quality.NAMES)))) >= 0.3).all()
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """A kind of bad text that only a few of many labelled rows have is learned, and training by parts is training at once."""
+    r = np.random.default_rng(3)
+    y = (r.random(30_000) > 0.3).astype(int)
+    x = r.random((len(y), len(quality.NAMES))) + 0.1 * y[:, None]
+    rare = slice(0, len(y), 3000)
+    y[rare], x[rare], x[1::3000, 5] = 0, x[rare] + 0.1, 9.0
+    whole = quality.fit(x, y)
+    cuts = [0, 10, 7000, 19_000, len(y)]
+    parts = quality.learn(lambda f: [f(x[a:b], y[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+    assert np.allclose(parts.weights, whole.weights, atol=1e-6) and abs(parts.cut - whole.cut) < 1e-6
+    z = (quality.expand(x) - quality.expand(x).mean(0)) / quality.expand(x).std(0)
+    assert np.allclose(whole.mean, quality.expand(x).mean(0)) and np.allclose(whole.spread, quality.expand(x).std(0))
+    # the slope of the mean loss of all pairs is none there
+    s, total = z @ whole.weights, quality.RIDGE * whole.weights
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    for low in range(0, len(good), 500):
+        p = 1 / (1 + np.exp(s[good[low : low + 500], None] - s[None, bad]))
+        total = total - (z[good[low : low + 500]].T @ p.sum(1) - z[bad].T @ p.sum(0)) / len(good) / len(bad)
+    assert np.abs(total).max() < 1e-4
+
+
+def test_quality_counts_more_rows_than_a_part(spark, monkeypatch):
+    """The last of many labelled rows count as the first do."""
+    monkeypatch.setattr(quality, "ROWS", 40)
+    rows = [(k, ("good words here. " if k % 2 else "BAD | TEXT ") * (1 + k % 7), k % 2) for k in range(300)]
+    docs = spark.createDataFrame([x[:2] for x in rows], DOCS)
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
+    seen = []
+    learn = quality.learn
+    monkeypatch.setattr(quality, "learn", lambda each, threshold: seen.append(each(lambda x, y: len(y))) or learn(each, threshold))
+    model = quality.train(docs, labels, "doc_id", "text", "quality")
+    assert sum(seen[0]) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(300)) and len(seen[0]) > 1
+    assert all((r["score"] >= 0.3) == r["doc_id"] % 2 for r in quality.score(docs, model, "text").collect())
+
+
 # --- pipeline ------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     data = "/root/testdata/sf0.001"
