@@ -434,6 +434,37 @@ def test_near_passages_are_found(spark):
     assert sum(got[i]["n_passages"] > 0 and got[i]["component_id"] == i - 1 for i in got if i % 2) >= 0.97 * 600
 
 
+def test_runs_that_near_passages_share():
+    r = random.Random(10)
+    longest = passages.run_of(46, 80)
+    assert longest == 19 and passages.run_of(46, 100) == 46
+    for _ in range(300):
+        one = [f"w{r.random()}" for _ in range(r.choice([50, 52, 70, 120, 200]))]
+        other = edited(r, one, r.randint(1, 5))
+        if alike(one, other) >= 0.8 and len(other) >= 50:
+            held = {tuple(other[k : k + longest + 4]) for k in range(len(other))}
+            assert any(tuple(one[k : k + longest + 4]) in held for k in range(len(one) - longest - 3))
+
+
+def test_no_near_passage_is_lost(spark):
+    """Pairs at 0.8 and above; those of the second half share their only run with a line that all of them have."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(1 << 40)}" for _ in range(n)]
+    line, rows = fresh(22), []
+    while len(rows) < 3000:
+        if len(rows) < 2400:
+            one = fresh(60)
+            other = list(one)
+            other[r.randrange(5, 55)] = "other"
+        else:
+            one = fresh(16) + ["one"] + fresh(12) + line
+            other = one[:16] + ["other"] + one[17:]
+        assert alike(one, other) >= 0.8
+        rows += [(len(rows), " ".join(fresh(30) + one + fresh(30))), (len(rows) + 1, " ".join(fresh(20) + other + fresh(40)))]
+    got = {x["doc_id"]: x for x in passages.near_passages(spark.createDataFrame(rows, DOCS), "doc_id", "text").collect()}
+    assert [i for i in got if got[i]["component_id"] != i - i % 2 or not got[i]["n_passages"]] == []
+
+
 def repeated_words(rows, size=50):
     """Which words of each text lie in a part of ``size`` words that another row has too, and the holders of each such part."""
     words = {i: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for i, t in rows}
