@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearfield.llm import common, embdup, neardup, passages, quality, substrings
@@ -620,3 +622,20 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in clear.collect()}
     packed = corpus_pipeline.pack(spark, mixed, data)
     assert packed.where("piece = 0").count() == mixed.count()
+
+
+def test_released_lets_go_of_finished_shuffles(spark):
+    def live():
+        shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+        return {*shuffles.keySet().mkString(",").split(",")} - {""}
+
+    before = live()
+    kept = [common.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()) for _ in range(3)]
+    made = live() - before
+    assert made
+    common.released(spark)
+    end = time.time() + 10
+    while live() & made and time.time() < end:
+        time.sleep(0.1)
+    assert not live() & made
+    assert [df.count() for df in kept] == [7] * 3
