@@ -467,6 +467,42 @@ def test_no_near_passage_is_lost(spark):
     assert [i for i in got if got[i]["component_id"] != i - i % 2 or not got[i]["n_passages"]] == []
 
 
+def test_unlike_surroundings_of_a_line_give_no_pairs():
+    """A line and, far from it, another that all have don't make candidates; near passages around the line do."""
+    r = random.Random(12)
+    half, line, far = 92, list(range(1, 31)), list(range(31, 61))
+    fresh = lambda n: [r.randrange(1 << 20, 1 << 60) for _ in range(n)]
+    rows = [fresh(half) + line + fresh(25) + far + fresh(half - 84) for _ in range(400)]
+    for k in range(0, 40, 2):  # 46 tokens at 0.8: 41 of them in common
+        rows[k + 1][half - 16 : half - 5] = rows[k][half - 16 : half - 5]
+    x = np.array(rows, np.uint64)
+    none, names = np.zeros(400, np.int64), np.arange(400)
+    for side, across in ((none, False), (names % 2, True)):
+        first, of, pairs = passages.candidates(x, names, none, side, across, 46, 80)
+        got = {tuple(sorted(p)) for p in first[pairs].tolist()}
+        assert got == {(k, k + 1) for k in range(0, 40, 2)}
+    m, o = first[pairs].T
+    assert len(passages.aligned(x[m], x[o], 46, 80)[0]) == 20
+    first, of, pairs = passages.candidates(np.concatenate([x, x]), np.concatenate([names, names]), np.zeros(800, np.int64), np.zeros(800, np.int64), False, 46, 80)
+    assert len(first) == 400 and (of[:400] == of[400:]).all() and len(pairs) == 20
+
+
+def test_blocks_of_a_large_group_lose_nothing(spark, monkeypatch):
+    r = random.Random(13)
+    fresh = lambda n: [f"w{r.randrange(1 << 40)}" for _ in range(n)]
+    line, rows = fresh(22), []
+    for k in range(0, 300, 2):
+        one = fresh(16) + ["one"] + fresh(12) + line
+        other = one[:16] + ["other"] + one[17:]
+        rows += [(k, " ".join(fresh(30) + one + fresh(30))), (k + 1, " ".join(fresh(20) + other + fresh(40)))]
+    found = []
+    for block in (2048, 40):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        found.append(sorted(passages.near_passages(spark.createDataFrame(rows, DOCS), "doc_id", "text").collect()))
+    assert found[0] == found[1]
+    assert all(x["component_id"] == x["doc_id"] - x["doc_id"] % 2 and x["n_passages"] for x in found[1])
+
+
 def repeated_words(rows, size=50):
     """Which words of each text lie in a part of ``size`` words that another row has too, and the holders of each such part."""
     words = {i: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for i, t in rows}
