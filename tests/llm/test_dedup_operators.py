@@ -503,6 +503,21 @@ def test_blocks_of_a_large_group_lose_nothing(spark, monkeypatch):
     assert all(x["component_id"] == x["doc_id"] - x["doc_id"] % 2 and x["n_passages"] for x in found[1])
 
 
+def test_passages_of_texts_that_another_links(spark):
+    """Near passages around a line that all have are found, too, if the two texts share something else as well."""
+    r = random.Random(14)
+    fresh = lambda n: [f"w{r.randrange(1 << 40)}" for _ in range(n)]
+    line, rows = fresh(44), []  # a word short of a passage by itself
+    for k in range(0, 300, 2):
+        one, copied = fresh(16) + line, fresh(60)
+        other = one[:15] + fresh(1) + line
+        rows += [(k, " ".join(fresh(30) + one + fresh(130) + copied)), (k + 1, " ".join(copied + fresh(130) + other + fresh(40)))]
+    got = spark.createDataFrame(rows, DOCS)
+    got = passages.near_passages(got, "doc_id", "text").collect()
+    assert [x["doc_id"] for x in got if x["n_passages"] != 2 or x["n_words"] < 60 + 50] == []
+    assert all(x["component_id"] == x["doc_id"] - x["doc_id"] % 2 for x in got)
+
+
 def repeated_words(rows, size=50):
     """Which words of each text lie in a part of ``size`` words that another row has too, and the holders of each such part."""
     words = {i: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for i, t in rows}
