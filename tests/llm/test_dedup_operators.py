@@ -306,6 +306,20 @@ def test_substrings_query_against_brute_force(spark):
     assert {r[0]: tuple(r)[1:] for r in df.collect()} == want and sum(w[1] > 0 for w in want.values()) > 10
 
 
+def test_windows_of_equal_hashes_are_compared_by_bytes(spark):
+    """Two stretches of 16 letters that the rolling hash can't tell apart: texts around them repeat nothing, unless a third has one of them, too."""
+    one, other = "m" * 16, "oqqqqkiluqjojyij"
+    assert substrings.rolling(np.frombuffer(one.encode(), np.uint8), 16, substrings._powers(16)) == substrings.rolling(np.frombuffer(other.encode(), np.uint8), 16, substrings._powers(16))
+    r = random.Random(1)
+    texts = []
+    for k in range(8):
+        left, right = ("".join(r.choice("abcdefgh ") for _ in range(340)) for _ in range(2))
+        texts += [left + one + right, left + other + right] + ["x" + left[50:] + one + right[:200]] * (k % 2)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = [tuple(x)[1:] for x in substrings.remove_repeats(df, "doc_id", "text").orderBy("doc_id").collect()]
+    assert got == brute_removed(texts, 400) and sum(g[1] > 0 for g in got) == 8
+
+
 def test_remove_repeats_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "y" * 500, 1), (None, None, 2), (3, "", 3), (3, "q" * 399, 4)], DOCS + ", n_bytes long")
     got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.remove_repeats(df, "doc_id", "text").collect())
